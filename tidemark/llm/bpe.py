@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of parts over its bytes. Each merge rank has a bucket of the positions whose pair merges at that rank;
-a bitmap tree of 64-bit words tells which buckets are filled, and find-first-set on each level gives the lowest rank in three steps. Entries
+a bitmap tree of 256-bit words tells which buckets are filled, and find-first-set on each level gives the lowest rank in two steps. Entries
 are never deleted: when a popped position's pair no longer merges at that rank it is stale and skipped. A pre-token of n bytes takes
 O(n log n) steps, so very long ones are no special case. Pre-tokens already seen by a worker come from a bounded memory.
 
@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -21,11 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
-#: Pre-tokens that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 150_000
+#: Pre-tokens in each of the two generations that a worker remembers.
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,110 +38,131 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank: the lowest rank first, in it the lowest position. Three levels of 64-bit words hold up to 262,144 ranks."""
-
-    __slots__ = ("buckets", "leaf", "mid", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.leaf[a] = self.leaf.get(a, 0) | 1 << (rank & 63)
-            self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.leaf[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[a] &= ~(1 << (rank & 63))
-            if not self.leaf[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: of all adjacent parts that together are a token, the pair of lowest rank merges first, the leftmost among equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here
-    before = list(range(-1, n - 1))
-    pair: list[int | None] = [None] * n  # the rank at which the part that starts here merges with the next one
-    queue = RankQueue()
-    get = ranks.get
-    for i in range(n - 1):
-        if (r := get(piece[i : i + 2])) is not None:
-            pair[i] = r
-            queue.push(r, i)
-    while (item := queue.pop()) is not None:
-        rank, i = item
-        if pair[i] != rank:
-            continue
-        j = end[i]
-        end[i] = k = end[j]
-        pair[j] = None
-        if k < n:
-            before[k] = i
-            pair[i] = r = get(piece[i : end[k]])
-            if r is not None:
-                queue.push(r, i)
-        else:
-            pair[i] = None
-        h = before[i]
-        if h >= 0:
-            pair[h] = r = get(piece[h:k])
+class Merger:
+    """Merges pre-tokens by one rank queue: buckets of positions by rank, found through two levels of 256-bit words (up to 65,536 ranks).
+
+    The queue is empty between pre-tokens, so its words are made once. A bucket of one position is that number, a larger one a heap.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.leaf = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # bit r & 255 of word r >> 8: bucket r has positions
+        self.pairs = [ranks.get(bytes((x >> 8, x & 255))) for x in range(1 << 16)]
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token: of all adjacent parts that together are a token, the pair of lowest rank merges first, the leftmost among equals."""
+        ranks, leaf, pairs, bit = self.ranks, self.leaf, self.pairs, _BIT
+        get = ranks.get
+        whole = get(piece)
+        if whole is not None:
+            return [whole]
+        n, top = len(piece), 0
+        end = list(range(1, n + 1))  # of the part that starts here
+        before = list(range(-1, n - 1))
+        pair = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]  # noqa: B905, RUF007  the rank at which the part that starts here merges with the next one
+        pair.append(None)
+        buckets: dict = {}
+
+        def push(r: int, i: int) -> None:
+            nonlocal top
+            if r in buckets:
+                bucket = buckets[r]
+                if bucket.__class__ is int:
+                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heappush(bucket, i)
+            else:
+                buckets[r] = i
+                a = r >> 8
+                top |= bit[a]
+                leaf[a] |= bit[r & 255]
+
+        for i, r in enumerate(pair):
             if r is not None:
-                queue.push(r, h)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+                push(r, i)
+        while top:
+            a = (top & -top).bit_length() - 1  # find-first-set on both levels
+            word = leaf[a]
+            low = word & -word
+            rank = (a << 8) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if bucket.__class__ is int:
+                i = bucket
+                bucket = None
+            else:
+                i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                leaf[a] = word ^ low
+                if word == low:
+                    top ^= bit[a]
+            if pair[i] != rank:
+                continue  # stale
+            j = end[i]
+            end[i] = k = end[j]
+            pair[j] = None
+            if k < n:
+                before[k] = i
+                pair[i] = r = get(piece[i : end[k]])
+                if r is not None:
+                    push(r, i)
+            else:
+                pair[i] = None
+            h = before[i]
+            if h >= 0:
+                pair[h] = r = get(piece[h:k])
+                if r is not None:
+                    push(r, h)
+        out, i = [], 0
+        while i < n:
+            j = end[i]
+            out.append(ranks[piece[i:j]])
+            i = j
+        return out
+
+
+_BIT = [1 << k for k in range(256)]
+#: The pattern's pieces for texts of these characters only, on which its classes are plain sets: the standard library's engine is faster on them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_OTHER_TEXT = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{_LETTERS}]")
+_PLAIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+_PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Codec:
     """Encodes texts to packed little-endian 32-bit ids and decodes them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+        self.merge = Merger(ranks)
         self.split = regex.compile(pattern).findall
+        self.plain = _PLAIN_SPLIT.findall if pattern == _PLAIN_PATTERN else None
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.bytes[v] = k
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _new(self, piece: str) -> bytes:
+        """The ids of a pre-token that isn't among the recent ones: two generations keep the frequent."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.merge(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self.seen) >= REMEMBERED:
+                self.older, self.seen = self.seen, {}
+            self.seen[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        seen, out = self.seen, []
-        for piece in self.split(text):
-            ids = seen.get(piece)
+        split = self.plain if self.plain and not _OTHER_TEXT.search(text) else self.split
+        get, new = self.seen.get, self._new
+        out, last = [], self.seen
+        for piece in split(text):
+            ids = get(piece)
             if ids is None:
-                ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[piece] = ids
+                ids = new(piece)
+                if self.seen is not last:
+                    last, get = self.seen, self.seen.get
             out.append(ids)
         return b"".join(out)
 
@@ -145,22 +170,31 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """A worker's codec, with what it remembers, serves all tasks of a query."""
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(ranks, pattern)
+    return _codecs[key]
+
+
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """docs without text, with n_tokens, ids (array<int>, if keep_ids), ids_sha256 and decoded_sha256 (of what the ids decode to).
 
     The ranks are read on the driver and broadcast; a vocabulary's size doesn't depend on the data.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
+    shared, key = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern)), uuid.uuid4().hex
     others = [c for c in docs.columns if c != text_col]
     names = [*others, "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
     fields = [docs.schema[c] for c in others]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = _codec(key, *shared.value)
         for batch in batches:
             packed = [codec.encode(x.as_py() or "") for x in batch.column(len(others))]
             columns = [*batch.columns[: len(others)], pa.array([len(x) // 4 for x in packed], pa.int64())]
