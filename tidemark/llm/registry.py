@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, simhash
+from . import bpe, language, mixing, pii, quality, simhash, substrings, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_pii": pii.op1_pii,
+        "op2_url_filter": urls.op2_url_filter,
+        "op3_vectors": vectors.op3_vectors,
         "op4_simhash": simhash.op4_simhash,
+        "op5_substrings": substrings.op5_substrings,
+        "op6_language": language.op6_language,
         "op7_bpe": bpe.op7_bpe,
+        "op8_warc": warc.op8_warc,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality_rules": quality.op10_quality_rules,
         "pipeline": corpus_pipeline.run,
@@ -23,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": urls.OP2_SQL, "op8_warc": warc.OP8_SQL}

@@ -81,9 +81,12 @@ def build(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
         alive[rows, at] = False
         alive &= cand != p[:, None]
     a, b = (np.concatenate([q[i] for q in picked]) for i in (0, 1))
+    back = np.repeat((0, 1), len(a))
     a, b = np.concatenate((a, b)), np.concatenate((b, a))
-    edges = np.unique(a * n + b)
-    return np.split(edges % n, np.searchsorted(edges // n, np.arange(1, n)))
+    order = np.lexsort((-sims[a, b], back, a))  # a node's own edges, then those that came back to it, the nearest first
+    a, b = a[order], b[order]
+    first = np.sort(np.unique(a * n + b, return_index=True)[1])
+    return np.split(b[first], np.searchsorted(a[first], np.arange(1, n)))
 
 
 def entry_points(x: np.ndarray, k: int) -> np.ndarray:
@@ -96,9 +99,18 @@ def entry_points(x: np.ndarray, k: int) -> np.ndarray:
     return np.array(at)
 
 
-def search(x: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query rows, node rows, cosines) within radius, for blocks of queries; neighbours: padded with -1."""
+def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query rows, node rows, cosines) within radius, for blocks of queries; lists: the neighbours of each node.
+
+    The greedy phase follows the first 2 * DEGREE neighbours of a node, the range expansion all of them.
+    """
     n, entries = len(x), entry_points(x, ENTRIES)
+    neighbours = np.full((n, 2 * DEGREE), -1, np.int64)
+    for k, v in enumerate(lists):
+        neighbours[k, : len(v[: 2 * DEGREE])] = v[: 2 * DEGREE]
+    flat = np.concatenate(lists).astype(np.int64) if n else np.zeros(0, np.int64)
+    lengths = np.array([len(v) for v in lists], np.int64)
+    starts = np.cumsum(lengths) - lengths
     for lo in range(0, len(queries), 512):
         q = queries[lo : lo + 512]
         m, rows = len(q), np.arange(len(q))
@@ -146,9 +158,9 @@ def search(x: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, radius: f
             beam, score, done = nxt
         frontier = [np.concatenate([f[k] for f in found]) for k in (0, 1)]
         while len(frontier[0]):  # range expansion
-            nb = neighbours[frontier[1]]
-            r = np.repeat(frontier[0], nb.shape[1])
-            c = np.where(nb < 0, n, nb).ravel()
+            size = lengths[frontier[1]]
+            r = np.repeat(frontier[0], size)
+            c = flat[np.repeat(starts[frontier[1]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             fresh = ~seen[r, c]
             key = np.unique(r[fresh] * (n + 1) + c[fresh])
             if not len(key):
@@ -217,10 +229,6 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
             v = np.array(lists[k] or [], np.int64)
             at = np.minimum(np.searchsorted(own, v), len(own) - 1)
             local.append(at[own[at] == v])
-        width = max(1, max(map(len, local)))
-        neighbours = np.full((len(node), width), -1, np.int64)
-        for k, v in enumerate(local):
-            neighbours[k, : len(v)] = v
         parent = np.arange(len(ids))
 
         def root(k: int) -> int:
@@ -231,7 +239,7 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
 
         n = np.zeros(len(ids), np.int64)
         hit = np.zeros(len(ids), bool)
-        for r, c, s in search(x[node].astype(np.float32), neighbours, x[query].astype(np.float32), cosine - 1e-5):
+        for r, c, s in search(x[node].astype(np.float32), local, x[query].astype(np.float32), cosine - 1e-5):
             r, c = query[r], node[c]
             close = np.abs(s - cosine) < 1e-5
             good = np.where(close, np.einsum("ij,ij->i", x[r], x[c]) >= cosine, True) & (ids[r] != ids[c]) & home[c]
