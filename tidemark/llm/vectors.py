@@ -1,12 +1,12 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
 Equal vectors meet first and stand for each other. K-means on a bounded sample gives the cluster centres; a vector belongs to each shard
-whose centre is within ``margin`` of its best one, and its best is its home. Each shard builds a graph: a node's candidates are its nearest
-nodes and some far ones, robust pruning drops a candidate that a kept one is closer to. The adjacency lists of a node from all its shards
-are united. In each shard every vector searches greedily from medoids (farthest-first entry points), then expands the range: every node found
-within the radius is expanded in turn until no new one is found. Hits are verified in double precision and count only where their home is,
-so no pair counts twice. Recall is audited against brute force over all vectors for a sample of queries; short of ``target`` the margin
-doubles and the search runs again. Shards of more than ``BLOCK`` rows are cut into blocks, searched from each other block in its own task.
+whose centre is within ``margin`` of its best one, and its best is its home. Its best two also have it as a node of their graph: a node's
+candidates are its nearest nodes and some far ones, robust pruning drops a candidate that a kept one is closer to. The adjacency lists of a
+node from its overlapping shards are united. In each of its shards a vector searches greedily from medoids (farthest-first entry points),
+then expands the range: every node found within the radius is expanded in turn until no new one is found. Hits are verified in double precision and count only where their home is,
+so no pair counts twice. For two samples of queries brute force over all vectors gives the true links: the first sets the margin that
+reaches their homes, the second audits the recall; short of ``target`` the margin doubles and the search runs again. Shards of more than ``BLOCK`` rows are cut into blocks, searched from each other block in its own task.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or differ in length from most, link with nothing; repeated rows
 link with each other; a null vec_id is its own component; an empty table gives an empty result; other columns don't matter.
@@ -26,6 +26,10 @@ from .components import components
 
 #: Vectors of a shard on average, most shards, vectors that k-means sees, most rows of a block.
 SHARD, SHARDS, SAMPLE, BLOCK = 160, 2048, 16_384, 3072
+#: Shards whose graphs have a vector as a node.
+OVERLAP = 2
+#: Margin where no query of the sample has a link; hundredths of a margin, at most 2 between unit vectors.
+WIDE, GAPS = 0.12, 202
 NEAREST, FAR, DEGREE, ALPHA, ENTRIES, BEAM = 40, 16, 24, 1.2, 24, 12
 
 
@@ -172,7 +176,7 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, radius:
 
 
 def _members(reps: DataFrame, c: np.ndarray, margin: float, dim: int) -> DataFrame:
-    """(shard, home, rep, copies, vec) for each shard of each vector."""
+    """(shard, home, node, rep, copies, vec) for each shard of each vector."""
     shared = reps.sparkSession.sparkContext.broadcast(c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +185,12 @@ def _members(reps: DataFrame, c: np.ndarray, margin: float, dim: int) -> DataFra
                 part = batch.slice(lo, 2048)
                 sims = _unit(_matrix(part.column(2), dim)) @ shared.value.T
                 home = sims.argmax(1)
-                r, s = np.nonzero(sims >= sims.max(1, keepdims=True) - margin)
+                node = sims >= np.partition(sims, -OVERLAP, axis=1)[:, -OVERLAP, None] if sims.shape[1] > OVERLAP else np.ones(sims.shape, bool)
+                r, s = np.nonzero(node | (sims >= sims.max(1, keepdims=True) - margin))
                 taken = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(home[r] == s), *taken.columns], ["shard", "home", "rep", "copies", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(home[r] == s), pa.array(node[r, s]), *taken.columns], ["shard", "home", "node", "rep", "copies", "vec"])
 
-    return reps.mapInArrow(run, "shard int, home boolean, rep long, copies long, vec array<double>")
+    return reps.mapInArrow(run, "shard int, home boolean, node boolean, rep long, copies long, vec array<double>")
 
 
 def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: int) -> DataFrame:
@@ -204,16 +209,21 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
         own = ids[order]
         return pa.table({"rep": own, "next": pa.array([own[v] for v in lists], pa.list_(pa.int64()))})
 
-    lists = rows.select("shard", "block", "rep", "vec").groupBy("shard", "block").applyInArrow(grow, "rep long, next array<long>")
+    lists = rows.where("node").select("shard", "block", "rep", "vec").groupBy("shard", "block").applyInArrow(grow, "rep long, next array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    linked = rows.join(store(united, "adjacency"), "rep", "left")
+    linked = rows.where("node").join(store(united, "adjacency"), "rep", "left")
+    only_asks = rows.where("not node").withColumn("next", F.lit(None).cast("array<long>"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    one = linked.where("blocks = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("node", F.lit(True)).withColumn("query", F.lit(True))
+
+    def placed(d: DataFrame, i: str, j: str, node: bool, query: str) -> DataFrame:
+        """Rows for the cell of block i's nodes and block j's queries."""
+        return d.select("shard", F.expr(i).alias("i"), F.expr(j).alias("j"), "rep", "copies", "home", F.lit(node).alias("node"), F.expr(query).alias("query"), "vec", "next")
+
+    cells = placed(linked.where("blocks = 1"), "0", "0", True, "true").unionByName(placed(only_asks.where("blocks = 1"), "0", "0", False, "true"))
     if large:
-        many = linked.where("blocks > 1").withColumn("other", F.explode(others))
-        as_node = many.withColumn("i", F.col("block")).withColumn("j", F.col("other")).withColumn("node", F.lit(True)).withColumn("query", F.col("i") == F.col("j"))
-        as_query = many.where("other != block").withColumn("i", F.col("other")).withColumn("j", F.col("block")).withColumn("node", F.lit(False)).withColumn("query", F.lit(True))
-        one = one.unionByName(as_node.drop("other")).unionByName(as_query.drop("other"))
+        many, asking = (d.where("blocks > 1").withColumn("other", F.explode(others)) for d in (linked, only_asks))
+        cells = cells.unionByName(placed(many, "block", "other", True, "block = other")).unionByName(placed(many.where("other != block"), "other", "block", False, "true"))
+        cells = cells.unionByName(placed(asking, "other", "block", False, "true"))
 
     def look(t: pa.Table) -> pa.Table:
         x = _unit(_matrix(t.column("vec"), dim))
@@ -258,28 +268,45 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
         at = np.flatnonzero(hit)
         return pa.table({"rep": ids[at], "n": n[at], "root": pa.array([int(ids[root(int(k))]) for k in at], pa.int64())})
 
-    return one.select("shard", "i", "j", "rep", "copies", "home", "node", "query", "vec", "next").groupBy("shard", "i", "j").applyInArrow(look, "rep long, n long, root long")
+    return cells.groupBy("shard", "i", "j").applyInArrow(look, "rep long, n long, root long")
 
 
-def _true_counts(reps: DataFrame, sample: np.ndarray, cosine: float, dim: int) -> np.ndarray:
-    """Brute force over all vectors for a sample of queries, in blocks: weighted neighbours of each, itself included."""
-    shared = reps.sparkSession.sparkContext.broadcast(sample)
+def _true_links(reps: DataFrame, sample: np.ndarray, c: np.ndarray, cosine: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Brute force over all vectors for a sample of queries, in blocks: (weighted neighbours of each, itself included; by hundredths of the
+    margin that it takes, the neighbours whose home it reaches)."""
+    shared = reps.sparkSession.sparkContext.broadcast((sample, c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
+        queries, centre = shared.value
+        to_centres = queries @ centre.T
+        gaps = to_centres.max(1, keepdims=True) - to_centres
+        total, reach = np.zeros(len(queries), np.int64), np.zeros(GAPS, np.int64)
         for batch in batches:
             x, copies = _unit(_matrix(batch.column(2), dim)), batch.column(1).to_numpy()
             for lo in range(0, len(x), 4096):
-                total += copies[lo : lo + 4096] @ (x[lo : lo + 4096] @ shared.value.T >= cosine)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "n"])
-
-    out = np.zeros(len(sample), np.int64)
+                y = x[lo : lo + 4096]
+                hits = y @ queries.T >= cosine
+                total += copies[lo : lo + 4096] @ hits
+                some = np.flatnonzero(hits.any(1))
+                r, q = np.nonzero(hits[some])
+                home = (y[some] @ centre.T).argmax(1)
+                reach += np.bincount((gaps[q, home[r]] * 100).astype(np.int64), minlength=GAPS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-GAPS, len(total), dtype=np.int32)), pa.array(np.concatenate((reach, total)))], ["i", "n"])
+
+    out = np.zeros(GAPS + len(sample), np.int64)
     for r in reps.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"]] = r["n"]
-    return out
+        out[r["i"] + GAPS] = r["n"]
+    return out[GAPS:], out[:GAPS]
+
+
+def _margin(reach: np.ndarray, links: int) -> float:
+    """The margin that reaches 999 of 1,000 true links, and two hundredths more; WIDE without links to measure."""
+    if not links:
+        return WIDE
+    return (int(np.searchsorted(np.cumsum(reach), 0.999 * reach.sum())) + 1) / 100 + 0.02
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, margin: float = 0.12, target: float = 0.99, audit: int = 256) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, target: float = 0.99, audit: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, recall), a row for each row of vectors."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
     raw = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), vec.alias("vec"))
@@ -298,8 +325,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ordered = plain.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect() if n <= SAMPLE else plain.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) <= int((1 << 20) * 1.2 * SAMPLE / n)).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
     sample = _unit(np.array([r["vec"] for r in ordered]))
     c = centres(sample, max(1, min(SHARDS, len(sample), n // SHARD)))
-    asked, ids = sample[:audit], [r["rep"] for r in ordered[:audit]]
-    truth = _true_counts(plain, asked, cosine, dim) - np.array([r["copies"] for r in ordered[:audit]])
+    weights = np.array([r["copies"] for r in ordered])
+    truth, reach = _true_links(plain, sample[: 2 * audit : 2], c, cosine, dim)
+    margin = _margin(reach, int((truth - weights[: 2 * audit : 2]).sum()))
+    ids = [r["rep"] for r in ordered[1 : 2 * audit : 2]]
+    truth = _true_links(plain, sample[1 : 2 * audit : 2], c, cosine, dim)[0] - weights[1 : 2 * audit : 2] if ids else np.zeros(0, np.int64)
     while True:
         links = store(_links(plain, c, margin, cosine, dim), "links")
         got = {r["rep"]: r["n"] for r in links.where(F.col("rep").isin(ids)).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
