@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose fingerprints link, that with the smallest doc_id stays."""
+    """Of each group of documents that links of at least 0.8 on five-word shingles join, that with the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -81,22 +81,61 @@ def test_simhash(spark, folder):
     assert got == {(i, f"{p:016x}", group[i]) for i, p in prints.items()}
 
 
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 @pytest.mark.parametrize(("bits", "run"), [(3, 8192), (6, 8192), (3, 8)])
 def test_near_pairs_join_all_close_fingerprints(spark, monkeypatch, bits, run):
     monkeypatch.setattr(simhash, "RUN", run)
     rng = random.Random(bits)
     seeds = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for s in seeds for _ in range(12)})
-    df = store(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), "fps")
+    df = store(spark.createDataFrame([(_signed(f),) for f in fps], "fp long"), "fps")
     roots = {r["node"]: r["root"] for r in components(simhash.near_pairs(df, bits)).collect()}
     label = {f: f for f in fps}
     while True:
-        new = {f: min((label[g] for g in fps if (f ^ g).bit_count() <= bits), key=simhash._signed) for f in fps}
+        new = {f: min((label[g] for g in fps if (f ^ g).bit_count() <= bits), key=_signed) for f in fps}
         if new == label:
             break
         label = new
-    signed = [simhash._signed(f) for f in fps]
-    assert [roots.get(s, s) for s in signed] == [simhash._signed(label[f]) for f in fps]
+    signed = [_signed(f) for f in fps]
+    assert [roots.get(s, s) for s in signed] == [_signed(label[f]) for f in fps]
+
+
+def test_drop_near_duplicates(spark):
+    """Groups of copies with few words changed, exact copies, and texts that share half their words, against brute force."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 2):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(w))
+        texts += [" ".join(base).upper(), " ".join(base[: len(base) // 2] + [f"w{rng.randrange(3000)}" for _ in range(len(base) // 2)])]
+    texts += ["", None, " ", "one two", "One  two", "three"]
+    rng.shuffle(texts)
+    docs = [(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x"), (None, texts[0], "x"), (None, "", "x")]
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    near = lambda a, b: a == b or len(a | b) > 0 and len(a & b) >= 0.8 * len(a | b)
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min(group[j] for j in range(len(texts)) if near(sets[i], sets[j])) for i in range(len(texts))]
+    frame = store(spark.createDataFrame(docs, "doc_id long, text string, digest string"), "near")
+    got = sorted((r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()), key=lambda x: (x is None, x))
+    want = [i for i, g in enumerate(group) if i == g]
+    assert got[-2:] == [None, None] and len(got) == len(set(got)) + 1
+    assert set(want) <= set(got)  # nothing under the similarity goes
+    copies = len(texts) - len(want)
+    assert len(set(got) - {None} - set(want)) <= 0.1 * copies  # candidates are found by fingerprint
+    empty = frame.where("false")
+    assert simhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_substrings(spark, folder):

@@ -5,7 +5,7 @@ groups of eight; neighbouring groups are merged into m partitions. If thresholds
 within max_bits differ in some partition i by at most t_i bits. For each m, a dynamic program allocates the thresholds with the least
 estimated cost (probes plus candidates, from exact histograms over all fingerprints), and the cheapest m is used: with more fingerprints
 it moves to fewer, wider partitions by itself. Probes meet stored values in sorted runs of equal partition values, where all pairs are
-verified on all 64 bits, but only a spanning forest of the links leaves the task. Runs over ``RUN`` rows are first cut into blocks, and each
+verified on all 64 bits, but only spanning forests of the links leave the task. Runs over ``RUN`` rows are first cut into blocks, and each
 pair of blocks is a run of its own.
 
 Edge cases: a null or wordless text has fingerprint zero; with fewer words than a shingle the whole sequence is the one shingle; equal
@@ -158,37 +158,47 @@ def allocate(distances: list[np.ndarray], n: int, max_bits: int) -> tuple[list[i
     return best[1], best[2]
 
 
-def _links(stored: np.ndarray, probing: np.ndarray, max_bits: int, same: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between stored and probing rows; same: they are the same rows, each pair counts once."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(up, up)
-            x = parent[x]
-        return x
-
-    step = max(1, 4_000_000 // max(len(stored), 1))
+def _hooked(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Positions of the edges (r, c) that make a forest on top of label (each node's tree, updated in place)."""
+    taken, left = [], np.arange(len(r))
+    while True:
+        x, y = label[r[left]], label[c[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate(taken) if taken else left
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        taken.append(left[first])
+        parent = np.arange(len(label))
+        parent[high] = np.minimum(x, y)[first]  # a tree joins one of a smaller label: no circles
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label[:] = parent[label]
+
+
+def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.ndarray], max_bits: int, forests: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between stored and probing fingerprints as pairs of their names, the closest first: a spanning forest of them, then one of the
+    links that are left, and so on, ``forests`` in all."""
+    own, at = np.unique(np.concatenate(names), return_inverse=True)
+    here, there = at[: len(stored)], at[len(stored) :]
+    labels = [np.arange(len(own)) for _ in range(forests)]
+    step = max(1, 1_000_000 // max(len(stored), 1))
     for i in range(0, len(probing), step):
-        block = probing[i : i + step]
-        apart = np.bitwise_count(block[:, None] ^ stored[None, :])
-        near = apart <= max_bits
-        if same:
-            near &= np.arange(len(stored))[None, :] < (i + np.arange(len(block)))[:, None]
-        for a in np.flatnonzero(near.any(1)):
-            x = int(block[a])
-            for y in stored[near[a]].tolist():
-                if x != y and (rx := root(x)) != (ry := root(y)):
-                    parent[rx] = ry
-                    yield x, y
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints of fps (fp) that join all within max_bits; a forest of them for each run."""
+        apart = np.bitwise_count(probing[i : i + step, None] ^ stored[None, :])
+        r, c = np.nonzero(apart <= max_bits)
+        d, r, c = apart[r, c], there[i + r], here[c]
+        for bits in range(max_bits + 1):
+            x, y = r[d == bits], c[d == bits]
+            for label in labels:
+                k = _hooked(x, y, label)
+                yield own[x[k]], own[y[k]]
+                rest = np.ones(len(x), bool)
+                rest[k] = False
+                x, y = x[rest], y[rest]
+
+
+def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", forests: int = 1) -> DataFrame:
+    """(a, b): links between the rows of fps (fp and the column name, a long), by their names, that join all within max_bits; as many forests of them for each run."""
     n = fps.count()
     groups = bit_groups(_counted(fps, _bit_counts, BITS * BITS).reshape(BITS, BITS), n)
     histograms = _counted(fps, lambda fp: np.concatenate([np.bincount(_gather(fp, g).astype(np.int64), minlength=256) for g in groups]), GROUP * 256)
@@ -199,6 +209,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            names = batch.column(1)
             for i, (bits, t) in enumerate(parts):
                 if t < 0:
                     continue
@@ -207,37 +218,37 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
                 for kind, mask in [(0, 0), *((1, x) for x in masks)]:
                     size = len(fp)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, i, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(size, kind, np.int8)), pa.array(fp.view(np.int64))], ["part", "value", "kind", "fp"]
+                        [pa.array(np.full(size, i, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(size, kind, np.int8)), batch.column(0), names], ["part", "value", "kind", "fp", "name"]
                     )
 
     probing = {i: t > 0 for i, (_, t) in enumerate(parts)}
-    rows = store(fps.select("fp").mapInArrow(spread, "part int, value long, kind tinyint, fp long"), "probes")
+    rows = store(fps.select("fp", F.col(f"`{name}`").alias("name")).mapInArrow(spread, "part int, value long, kind tinyint, fp long, name long"), "probes")
     crowds = store(rows.groupBy("part", "value").agg(F.count("*").alias("rows")).where(F.col("rows") > RUN).withColumn("blocks", F.ceil(F.col("rows") / RUN * 2).cast("int")), "crowds")
     one, many = F.lit(0), F.lit(None).cast("int")
     if crowds.count():
         joined = rows.join(crowds, ["part", "value"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
-        split = joined.where("blocks is not null").select("part", "value", "kind", "fp", mine.alias("mine"), F.explode(pairs).alias("p")).select("part", "value", "kind", "fp", "mine", "p.x", "p.y")
-        rows = joined.where("blocks is null").select("part", "value", "kind", "fp", many.alias("mine"), one.alias("x"), one.alias("y")).unionByName(split)
+        split = joined.where("blocks is not null").select("part", "value", "kind", "fp", "name", mine.alias("mine"), F.explode(pairs).alias("p")).select("part", "value", "kind", "fp", "name", "mine", "p.x", "p.y")
+        rows = joined.where("blocks is null").select("part", "value", "kind", "fp", "name", many.alias("mine"), one.alias("x"), one.alias("y")).unionByName(split)
     else:
-        rows = rows.select("part", "value", "kind", "fp", many.alias("mine"), one.alias("x"), one.alias("y"))
+        rows = rows.select("part", "value", "kind", "fp", "name", many.alias("mine"), one.alias("x"), one.alias("y"))
     key = ["part", "value", "x", "y"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the end of a batch is kept until the next one, as a run may go on."""
         kept: list[np.ndarray] = []
 
-        def pairs(cols: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-            part, value, x, y, kind, mine, fp = cols
+        def pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            part, value, x, y, kind, mine, fp, own = cols
             cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))
             for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-                f, k = fp[a:b], kind[a:b] == 1
+                f, o, k = fp[a:b], own[a:b], kind[a:b] == 1
                 if not probing[int(part[a])]:
-                    yield from _links(f, f, max_bits, True)
+                    yield from _links(f, f, (o, o), max_bits, forests)
                 elif k.any() and not k.all():
-                    yield from _links(f[~k], f[k], max_bits, False)
+                    yield from _links(f[~k], f[k], (o[~k], o[k]), max_bits, forests)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -252,13 +263,13 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         if kept and len(kept[0]):
             yield _batch(pairs(kept))
 
-    ordered = rows.select(*key, "kind", F.coalesce("mine", F.lit(0)).alias("mine"), "fp").repartition(*key).sortWithinPartitions(*key)
+    ordered = rows.select(*key, "kind", F.coalesce("mine", F.lit(0)).alias("mine"), "fp", "name").repartition(*key).sortWithinPartitions(*key)
     return ordered.mapInArrow(compare, "a long, b long")
 
 
 def _batch(pairs) -> pa.RecordBatch:
     found = list(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([_signed(p[i]) for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in found)])) for i in (0, 1)], ["a", "b"])
 
 
 def classes(prints: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -277,16 +288,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, and of rows that repeat it, one.
+def _texts(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, fp): digest is that of the lower-cased words, fp the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+            digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+            values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(values.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long")
+
 
-    Only ids that stay are joined with the texts.
+def _grams(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, grams): the distinct 64-bit hashes of each text's shingles; of rows that repeat a doc_id, the largest array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = batch.column(1)[k]
+                words = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
+                hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+                grams = np.sort(np.array(list(hashes), np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([grams], pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, grams array<long>")
+    return found.groupBy("doc_id").agg(F.max("grams").alias("grams"))
+
+
+def similar_pairs(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The rows of edges (a, b: ids of docs) whose sets of shingles have at least this Jaccard similarity."""
+    ids = edges.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+    grams = store(_grams(docs.join(ids, docs.doc_id == ids["__id"], "left_semi"), shingle), "grams")
+    first = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
+    second = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - F.col("shared")
+    joined = edges.join(first, "a").join(second, "b").withColumn("shared", shared)
+    return joined.where((union > 0) & (F.col("shared") >= similarity * union)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, max_bits: int = 8) -> DataFrame:
+    """docs with one document of each group: that with the smallest doc_id, and of rows that repeat it, one.
+
+    Texts of equal words are one. Fingerprints of print_shingle words within max_bits make candidates, whose sets of shingle words are then
+    compared exactly; links of at least similarity make the groups. Documents without words are one text; a row without doc_id is neither
+    compared nor dropped. Only ids that stay are joined with the texts.
     """
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    stay = store(stay, "stay")
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept if stay.where("__rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    prints = store(_texts(docs.where("doc_id is not null"), print_shingle), "prints")
+    texts = store(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
+    found = near_pairs(texts, max_bits, "least", forests=2)
+    edges = store(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    roots = components(store(similar_pairs(docs, edges, similarity, shingle), "links"))
+    # roots holds the texts that give way to one of a smaller doc_id
+    stay = texts.join(roots, texts.least == roots.node, "left_anti").select(F.col("least").alias("__id"))
+    repeated = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    kept = docs.where("doc_id is not null").join(store(stay, "stay"), F.col("doc_id") == F.col("__id"), "left_semi")
+    return (kept if repeated else kept.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
