@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import bpe, language, mixing, pii, quality, simhash, substrings, urls, vectors, warc
+from tidemark.llm import bpe, language, mixing, pii, quality, setjoin, simhash, substrings, urls, vectors, warc
 from tidemark.llm.common import store
 from tidemark.llm.components import components
 
@@ -138,6 +138,42 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def _stay(texts, similarity=0.8):
+    """Ids that stay, by brute force over all pairs of texts without capitals."""
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= similarity * len(a | b)] for a in sets]
+    while True:
+        new = [min(group[j] for j in n) for n in near]
+        if new == group:
+            return [i for i, g in enumerate(group) if i == g]
+        group = new
+
+
+def _deduped(spark, texts):
+    frame = store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near")
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect())
+
+
+@pytest.mark.parametrize("run", [8192, 40])
+def test_near_dedup_compares_all_of_a_crowd(spark, monkeypatch, run):
+    """Pages of one template, of which some are copies of each other and most are just too different."""
+    monkeypatch.setattr(setjoin, "RUN", run)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    template = [word() for _ in range(200)]
+    texts = []
+    for k in range(90):
+        own = [word() for _ in range(rng.choice((18, 25, 30, 45)))]
+        texts.append(" ".join(template + own))
+        if k % 3 == 0:
+            texts.append(" ".join(template + own[:-6] + [word() for _ in range(rng.choice((6, 12)))]))
+    rng.shuffle(texts)
+    want = _stay(texts)
+    assert 20 < len(want) < len(texts) - 20
+    assert _deduped(spark, texts) == want
+
+
 def test_substrings(spark, folder):
     first, texts = {}, rows(folder)
     for r in texts:

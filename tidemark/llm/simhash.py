@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import store, table
 from .components import components
+from .setjoin import linked
 
 BITS, GROUP = 64, 8
 #: Rows of a run that one task compares at most; longer ones are cut into blocks.
@@ -180,12 +181,11 @@ def _hooked(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
         label[:] = parent[label]
 
 
-def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray] | None, max_bits: int, forests: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between stored and probing fingerprints as pairs of their names, the closest first: a spanning forest of them, then one of the
-    links that are left, and so on, ``forests`` in all."""
+def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray] | None, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between stored and probing fingerprints as pairs of their names: a spanning forest of them."""
     own, at = np.unique(np.concatenate(names), return_inverse=True)
     here, there = at[: len(stored)], at[len(stored) :]
-    labels = [np.arange(len(own)) for _ in range(forests)]
+    label = np.arange(len(own))
     step = max(1, 1_000_000 // max(len(stored), 1))
     for i in range(0, len(probing), step):
         apart = np.bitwise_count(probing[i : i + step, None] ^ stored[None, :])
@@ -194,19 +194,13 @@ def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.
             alike = (sketches[1][i + r] ^ sketches[0][c]).view(np.uint8).reshape(-1, 8)
             good = (alike == 0).sum(1) >= EQUAL_BYTES
             r, c = r[good], c[good]
-        d, r, c = apart[r, c], there[i + r], here[c]
-        for bits in range(max_bits + 1):
-            x, y = r[d == bits], c[d == bits]
-            for label in labels:
-                k = _hooked(x, y, label)
-                yield own[x[k]], own[y[k]]
-                rest = np.ones(len(x), bool)
-                rest[k] = False
-                x, y = x[rest], y[rest]
-
-
-def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", forests: int = 1, sketch: str | None = None) -> DataFrame:
-    """(a, b): links between the rows of fps (fp and the column name, a long), by their names, that join all within max_bits (and with sketches alike, if given); as many forests of them for each run."""
+        x, y = there[i + r], here[c]
+        k = _hooked(x, y, label)
+        yield own[x[k]], own[y[k]]
+
+
+def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", sketch: str | None = None) -> DataFrame:
+    """(a, b): links between the rows of fps (fp and the column name, a long), by their names, that join all within max_bits (and with sketches alike, if given)."""
     n = fps.count()
     groups = bit_groups(_counted(fps, _bit_counts, BITS * BITS).reshape(BITS, BITS), n)
     histograms = _counted(fps, lambda fp: np.concatenate([np.bincount(_gather(fp, g).astype(np.int64), minlength=256) for g in groups]), GROUP * 256)
@@ -253,9 +247,9 @@ def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", forests: int
             for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
                 f, o, h, k = fp[a:b], own[a:b], bytes_[a:b], kind[a:b] == 1
                 if not probing[int(part[a])]:
-                    yield from _links(f, f, (o, o), (h, h) if sketch else None, max_bits, forests)
+                    yield from _links(f, f, (o, o), (h, h) if sketch else None, max_bits)
                 elif k.any() and not k.all():
-                    yield from _links(f[~k], f[k], (o[~k], o[k]), (h[~k], h[k]) if sketch else None, max_bits, forests)
+                    yield from _links(f[~k], f[k], (o[~k], o[k]), (h[~k], h[k]) if sketch else None, max_bits)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -303,69 +297,49 @@ def _hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """Eight minimum hashes, a byte of each."""
-    least = np.array([((h := hashes * m) ^ (h >> np.uint64(29))).min() if len(hashes) else 0 for m in MIXERS], np.uint64)
-    return (least & np.uint64(255)).astype(np.uint8)
-
-
-def _texts(docs: DataFrame, print_shingle: int, shingle: int) -> DataFrame:
-    """(doc_id, digest, fp, sketch): digest is that of the lower-cased words, fp the fingerprint, sketch that of the set of shingles."""
+def _digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest): digest is that of the lower-cased words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
             digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            values = np.array([fingerprint(t, print_shingle) for t in texts], np.uint64)
-            sketches = np.concatenate([np.zeros(0, np.uint8), *(_sketch(_hashes(t, shingle)) for t in texts)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(values.view(np.int64)), pa.array(sketches)], ["doc_id", "digest", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["doc_id", "digest"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long, sketch long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary")
 
 
 def _grams(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, grams): the distinct 64-bit hashes of each text's shingles; of rows that repeat a doc_id, the largest array."""
+    """(id, grams): the distinct 64-bit hashes of each text's shingles, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x = batch.column(1)[k]
-                grams = _hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([grams], pa.list_(pa.int64()))], ["doc_id", "grams"])
-
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, grams array<long>")
-    return found.groupBy("doc_id").agg(F.max("grams").alias("grams"))
-
+            for k in range(0, batch.num_rows, 64):
+                ids, texts = (batch.column(c).slice(k, 64) for c in (0, 1))
+                grams = [np.sort(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle).view(np.int64)) for x in texts]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
-def similar_pairs(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The rows of edges (a, b: ids of docs) whose sets of shingles have at least this Jaccard similarity."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    grams = store(_grams(docs.join(ids, docs.doc_id == ids["__id"], "left_semi"), shingle), "grams")
-    first = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    second = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - F.col("shared")
-    joined = edges.join(first, "a").join(second, "b").withColumn("shared", shared)
-    return joined.where((union > 0) & (F.col("shared") >= similarity * union)).select("a", "b")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, grams array<long>")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, max_bits: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id, and of rows that repeat it, one.
 
-    Texts of equal words are one. Fingerprints of print_shingle words within max_bits, with minimum hashes of which some agree, make candidates,
-    whose sets of shingle words are then compared exactly; links of at least similarity make the groups. Documents without words are one text; a row without doc_id is neither
-    compared nor dropped. Only ids that stay are joined with the texts.
+    Texts of equal words are one. Every pair of the others whose sets of shingle words have at least similarity is a link, and links make
+    the groups. Documents without words are one text; a row without doc_id is neither compared nor dropped. Only ids that stay are joined
+    with the texts.
     """
-    prints = store(_texts(docs.where("doc_id is not null"), print_shingle, shingle), "prints")
-    texts = store(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
-    found = near_pairs(texts, max_bits, "least", 2, "sketch")
-    edges = store(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    roots = components(store(similar_pairs(docs, edges, similarity, shingle), "links"))
+    own = docs.where("doc_id is not null")
+    prints = store(_digests(own), "prints")
+    texts = store(prints.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
+    repeated = not prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    sets = _grams(own.join(texts, F.col("doc_id") == F.col("least"), "left_semi"), shingle)
+    sets = store(sets.groupBy("id").agg(F.max("grams").alias("grams")) if repeated else sets, "grams")
+    roots = linked(sets, similarity)
     # roots holds the texts that give way to one of a smaller doc_id
-    stay = texts.join(roots, texts.least == roots.node, "left_anti").select(F.col("least").alias("__id"))
-    repeated = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
-    kept = docs.where("doc_id is not null").join(store(stay, "stay"), F.col("doc_id") == F.col("__id"), "left_semi")
-    return (kept if repeated else kept.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
+    stay = texts.join(roots, texts.least == roots.node, "left_anti").select(F.col("least").alias("__id")).distinct()
+    kept = own.join(store(stay, "stay"), F.col("doc_id") == F.col("__id"), "left_semi")
+    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
