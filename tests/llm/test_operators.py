@@ -174,6 +174,35 @@ def test_near_dedup_compares_all_of_a_crowd(spark, monkeypatch, run):
     assert _deduped(spark, texts) == want
 
 
+def _pairs(rng, kind, count, low, high):
+    """Texts in pairs of a similarity of low to high: words edited here and there, one block replaced, or a passage appended."""
+    word = lambda: f"w{rng.randrange(20_000)}"
+    texts = []
+    while len(texts) < 2 * count:
+        a = [word() for _ in range(rng.randint(100, 300))]
+        b, part = list(a), rng.uniform(0.02, 0.25)
+        if kind == "scattered":
+            for k in rng.sample(range(len(b)), max(1, int(part * len(b) / 5))):
+                b[k] = word()
+        elif kind == "block":
+            size = max(1, int(part * len(b) / 2))
+            at = rng.randrange(len(b) - size)
+            b[at : at + size] = [word() for _ in range(size)]
+        else:
+            b += [word() for _ in range(int(part * len(b)))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        if low <= len(x & y) / len(x | y) < high:
+            texts += [" ".join(a), " ".join(b)]
+    return texts
+
+
+def test_near_dedup_finds_every_kind_of_edit(spark):
+    rng = random.Random(21)
+    texts = [t for kind in ("block", "appended", "scattered") for t in _pairs(rng, kind, 60, 0.8, 0.9)] + _pairs(rng, "block", 40, 0.75, 0.8)
+    want = sorted([*range(0, 360, 2), *range(360, 440)])
+    assert _deduped(spark, texts) == want
+
+
 def test_substrings(spark, folder):
     first, texts = {}, rows(folder)
     for r in texts:
