@@ -203,6 +203,11 @@ def test_near_dedup_finds_every_kind_of_edit(spark):
     assert _deduped(spark, texts) == want
 
 
+def test_near_dedup_finds_scattered_edits_at_the_threshold(spark):
+    texts = _pairs(random.Random(22), "scattered", 250, 0.8, 0.81)
+    assert _deduped(spark, texts) == list(range(0, 500, 2))
+
+
 def test_substrings(spark, folder):
     first, texts = {}, rows(folder)
     for r in texts:

@@ -34,10 +34,6 @@ BITS, GROUP = 64, 8
 RUN = 8192
 #: Bits by which a probe may differ from its own partition value at most, by the partition's width.
 MOST_PROBES = 600
-#: Odd multipliers of the eight minimum hashes of a sketch.
-MIXERS = np.array([2 * k + 1 for k in range(8)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-#: Bytes of two sketches that must be equal: at a similarity of 0.8, 999 of 1,000 pairs pass, of unrelated texts 3 in a million.
-EQUAL_BYTES = 3
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -181,7 +177,7 @@ def _hooked(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
         label[:] = parent[label]
 
 
-def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray] | None, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.ndarray], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between stored and probing fingerprints as pairs of their names: a spanning forest of them."""
     own, at = np.unique(np.concatenate(names), return_inverse=True)
     here, there = at[: len(stored)], at[len(stored) :]
@@ -190,17 +186,13 @@ def _links(stored: np.ndarray, probing: np.ndarray, names: tuple[np.ndarray, np.
     for i in range(0, len(probing), step):
         apart = np.bitwise_count(probing[i : i + step, None] ^ stored[None, :])
         r, c = np.nonzero(apart <= max_bits)
-        if sketches:
-            alike = (sketches[1][i + r] ^ sketches[0][c]).view(np.uint8).reshape(-1, 8)
-            good = (alike == 0).sum(1) >= EQUAL_BYTES
-            r, c = r[good], c[good]
         x, y = there[i + r], here[c]
         k = _hooked(x, y, label)
         yield own[x[k]], own[y[k]]
 
 
-def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", sketch: str | None = None) -> DataFrame:
-    """(a, b): links between the rows of fps (fp and the column name, a long), by their names, that join all within max_bits (and with sketches alike, if given)."""
+def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp") -> DataFrame:
+    """(a, b): links between the rows of fps (fp and the column name, a long), by their names, that join all within max_bits."""
     n = fps.count()
     groups = bit_groups(_counted(fps, _bit_counts, BITS * BITS).reshape(BITS, BITS), n)
     histograms = _counted(fps, lambda fp: np.concatenate([np.bincount(_gather(fp, g).astype(np.int64), minlength=256) for g in groups]), GROUP * 256)
@@ -219,21 +211,21 @@ def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", sketch: str
                 for kind, mask in [(0, 0), *((1, x) for x in masks)]:
                     size = len(fp)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, i, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(size, kind, np.int8)), *batch.columns], ["part", "value", "kind", "fp", "name", "sketch"]
+                        [pa.array(np.full(size, i, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(size, kind, np.int8)), *batch.columns], ["part", "value", "kind", "fp", "name"]
                     )
 
     probing = {i: t > 0 for i, (_, t) in enumerate(parts)}
-    rows = store(fps.select("fp", F.col(f"`{name}`").alias("name"), (F.col(f"`{sketch}`") if sketch else F.lit(0).cast("long")).alias("sketch")).mapInArrow(spread, "part int, value long, kind tinyint, fp long, name long, sketch long"), "probes")
+    rows = store(fps.select("fp", F.col(f"`{name}`").alias("name")).mapInArrow(spread, "part int, value long, kind tinyint, fp long, name long"), "probes")
     crowds = store(rows.groupBy("part", "value").agg(F.count("*").alias("rows")).where(F.col("rows") > RUN).withColumn("blocks", F.ceil(F.col("rows") / RUN * 2).cast("int")), "crowds")
     one, many = F.lit(0), F.lit(None).cast("int")
     if crowds.count():
         joined = rows.join(crowds, ["part", "value"], "left")
         mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
-        split = joined.where("blocks is not null").select("part", "value", "kind", "fp", "name", "sketch", mine.alias("mine"), F.explode(pairs).alias("p")).select("part", "value", "kind", "fp", "name", "sketch", "mine", "p.x", "p.y")
-        rows = joined.where("blocks is null").select("part", "value", "kind", "fp", "name", "sketch", many.alias("mine"), one.alias("x"), one.alias("y")).unionByName(split)
+        split = joined.where("blocks is not null").select("part", "value", "kind", "fp", "name", mine.alias("mine"), F.explode(pairs).alias("p")).select("part", "value", "kind", "fp", "name", "mine", "p.x", "p.y")
+        rows = joined.where("blocks is null").select("part", "value", "kind", "fp", "name", many.alias("mine"), one.alias("x"), one.alias("y")).unionByName(split)
     else:
-        rows = rows.select("part", "value", "kind", "fp", "name", "sketch", many.alias("mine"), one.alias("x"), one.alias("y"))
+        rows = rows.select("part", "value", "kind", "fp", "name", many.alias("mine"), one.alias("x"), one.alias("y"))
     key = ["part", "value", "x", "y"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +233,15 @@ def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", sketch: str
         kept: list[np.ndarray] = []
 
         def pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            part, value, x, y, kind, mine, fp, own, bytes_ = cols
+            part, value, x, y, kind, mine, fp, own = cols
             cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))
             for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-                f, o, h, k = fp[a:b], own[a:b], bytes_[a:b], kind[a:b] == 1
+                f, o, k = fp[a:b], own[a:b], kind[a:b] == 1
                 if not probing[int(part[a])]:
-                    yield from _links(f, f, (o, o), (h, h) if sketch else None, max_bits)
+                    yield from _links(f, f, (o, o), max_bits)
                 elif k.any() and not k.all():
-                    yield from _links(f[~k], f[k], (o[~k], o[k]), (h[~k], h[k]) if sketch else None, max_bits)
+                    yield from _links(f[~k], f[k], (o[~k], o[k]), max_bits)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -264,7 +256,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 3, name: str = "fp", sketch: str
         if kept and len(kept[0]):
             yield _batch(pairs(kept))
 
-    ordered = rows.select(*key, "kind", F.coalesce("mine", F.lit(0)).alias("mine"), "fp", "name", "sketch").repartition(*key).sortWithinPartitions(*key)
+    ordered = rows.select(*key, "kind", F.coalesce("mine", F.lit(0)).alias("mine"), "fp", "name").repartition(*key).sortWithinPartitions(*key)
     return ordered.mapInArrow(compare, "a long, b long")
 
 
