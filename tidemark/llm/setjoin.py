@@ -4,9 +4,12 @@ All sets are put in one order, hashes that are frequent in a sample of the sets
 t / (1 + t) * (n + m) of them, so their first shared hash lies among the first n - ceil(t n) + 1 of each and leaves that many in both: sets
 meet in runs of equal hashes of these prefixes, the pairs that pass that bound are compared in full. The order only sets the cost: any one is right.
 
-Runs of up to ``BIG`` rows give all their pairs. A longer run gives the pairs with its smallest id first; the links among those make
-components, and then all its pairs that are in different components yet. Pairs within a component are not needed to join it. Runs over ``RUN``
-rows are cut into blocks, and each pair of blocks is a run of its own.
+Before that, bitmaps (Sandes et al., 2019) rule pairs out: a bit is the parity of the hashes that fall on it, so two bitmaps differ in at most
+as many bits as the sets do in hashes, and sets of similarity t differ in at most (1 - t) / (1 + t) * (n + m).
+
+Runs of up to ``BIG`` rows give all their pairs. In a longer run, each row gives the pair with the likest row of another component, the links
+among those make larger components, and so on for ``ROUNDS``; then the run gives all pairs that are in different components yet. Pairs within a
+component are not needed to join it. Runs over ``RUN`` rows are cut into blocks, and each pair of blocks is a run of its own.
 
 Edge cases: an empty set links with nothing; a set is no link of itself.
 """
@@ -25,7 +28,9 @@ from .common import store
 from .components import components
 
 #: Rows of a run that gives all pairs at once, and of one that a task compares at most.
-BIG, RUN = 32, 8192
+BIG, RUN, ROUNDS = 32, 8192, 3
+#: Bits of a bitmap.
+BITS = 1024
 #: Sets whose hashes are counted for the order, and most hashes that are put last.
 SAMPLE, COMMON = 2000, 65_536
 #: Bounds are lowered by this much, so that rounding never loses a pair.
@@ -76,6 +81,41 @@ def _possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, t:
     return np.minimum(n1 - p1, n2 - p2) >= t / (1 + t) * (n1.astype(np.int64) + n2) - SLACK
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, n, bits): the number of each set's hashes and its bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            bits = [np.packbits(np.bincount(flat[a:b] & (BITS - 1), minlength=BITS) & 1).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return sets.select("id", "grams").mapInArrow(run, "id long, n int, bits binary")
+
+
+def _matrix(bits: list[bytes] | np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+
+
+def _most(n1: np.ndarray, n2: np.ndarray, t: float) -> np.ndarray:
+    """Bits by which the bitmaps of sets of n1 and n2 hashes of similarity t can differ."""
+    return (1 - t) / (1 + t) * (n1.astype(np.int64) + n2) + SLACK
+
+
+def _unlike_dropped(edges: DataFrame, bitmaps: DataFrame, t: float) -> DataFrame:
+    """edges (a, b) without those that the bitmaps rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_matrix(batch.column(k).to_pylist()) for k in (3, 5))
+                good = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= _most(batch.column(2).to_numpy(), batch.column(4).to_numpy(), t)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    one, other = (bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in ("a", "b"))
+    return edges.join(one, "a").join(other, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
+
+
 def _runs(keys: int, f: Callable[[list[np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
     """For mapInArrow over rows sorted by the first columns: f gets whole runs of equal keys, as columns, starts and lengths."""
 
@@ -122,9 +162,6 @@ def _met(prefixes: DataFrame, t: float) -> DataFrame:
             if size > BIG or salt[k] >= 0:
                 rows = slice(k, k + size)
                 yield batch(gram[rows], own[rows], None, n[rows], pos[rows])
-                least = k + int(np.argmin(own[rows]))
-                good = _possible(n[rows], pos[rows], n[least : least + 1], pos[least : least + 1], t) & (own[rows] != own[least])
-                yield batch(None, np.full(int(good.sum()), own[least]), own[rows][good], None, None)
 
     def batch(*cols: np.ndarray | None) -> pa.RecordBatch:
         size = max(len(c) for c in cols if c is not None)
@@ -135,22 +172,36 @@ def _met(prefixes: DataFrame, t: float) -> DataFrame:
     return ordered.mapInArrow(_runs(2, meet), "gram long, a long, b long, n int, pos int")
 
 
-def _apart(rows: DataFrame, t: float) -> DataFrame:
-    """(a, b): all pairs of rows (gram, id, n, pos, root) that have a gram in common, can reach t and are of different roots."""
+def _apart(rows: DataFrame, t: float, likest: bool) -> DataFrame:
+    """(a, b): pairs of rows (gram, id, n, pos, bits, root) that have a gram in common, can reach t and are of different roots: all of
+    them, or of each row in a run the one whose bitmaps are likest."""
     crowds = rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     crowds = store(crowds.select("gram", F.when(F.col("rows") > RUN, F.ceil(F.col("rows") / RUN * 2)).otherwise(1).cast("int").alias("blocks")), "crowds")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
-    dealt = rows.join(crowds, "gram").withColumn("p", F.explode(pairs)).select("gram", "p.x", "p.y", "id", "n", "pos", "root")
+    dealt = rows.join(crowds, "gram").withColumn("p", F.explode(pairs)).select("gram", "p.x", "p.y", "id", "n", "pos", "bits", "root")
 
     def compare(cols: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, _, own, n, pos, root = cols
+        _, _, _, own, n, pos, bits, root = cols
         for k, size in zip(start, length, strict=True):
             m, p, r, o = n[k : k + size], pos[k : k + size], root[k : k + size], own[k : k + size]
+            if (r == r[0]).all():
+                continue
+            maps = _matrix(bits[k : k + size])
             step = max(1, 1_000_000 // size)
             for i in range(0, size, step):
-                x, y = np.nonzero(_possible(m[i : i + step, None], p[i : i + step, None], m, p, t) & (r[i : i + step, None] != r) & (o[i : i + step, None] < o))
-                yield pa.RecordBatch.from_arrays([pa.array(o[i + x]), pa.array(o[y])], ["a", "b"])
+                rows_ = slice(i, i + step)
+                x, y = np.nonzero(_possible(m[rows_, None], p[rows_, None], m, p, t) & (r[rows_, None] != r) & (likest | (o[rows_, None] < o)))
+                x += i
+                gap = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(maps[x[h : h + 100_000]] ^ maps[y[h : h + 100_000]]).sum(1, dtype=np.int64) for h in range(0, len(x), 100_000))])
+                most = _most(m[x], m[y], t)
+                good = gap <= most
+                x, y, close = x[good], y[good], (gap / most)[good]
+                if likest:
+                    best = np.lexsort((o[y], close, x))
+                    best = best[np.unique(x[best], return_index=True)[1]]
+                    x, y = x[best], y[best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(o[x], o[y])), pa.array(np.maximum(o[x], o[y]))], ["a", "b"])
 
     key = ["gram", "x", "y"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_runs(3, compare), "a long, b long").distinct()
@@ -170,12 +221,23 @@ def similar_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataF
 
 def linked(sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) as of components, over all links of sets (id, grams: distinct sorted longs; a written table, an id once)."""
+    bitmaps = store(_bitmaps(sets), "bitmaps")
     met = store(_met(_prefixes(sets, similarity, _common(sets, sets.count())), similarity), "met")
-    links = store(similar_pairs(sets, store(met.where("gram is null").select("a", "b").distinct(), "candidates"), similarity), "links")
+    edges = _unlike_dropped(met.where("gram is null").select("a", "b").distinct(), bitmaps, similarity)
+    links = store(similar_pairs(sets, store(edges, "candidates"), similarity), "links")
     roots = store(components(links), "roots")
-    crowd = met.where("gram is not null").select("gram", F.col("a").alias("id"), "n", "pos")
+    crowd = met.where("gram is not null").select("gram", F.col("a").alias("id"), "pos")
     if crowd.isEmpty():
         return roots
-    rows = store(crowd.join(roots, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", F.coalesce("root", "id").alias("root")), "crowd")
-    more = similar_pairs(sets, store(_apart(rows, similarity), "candidates"), similarity)
-    return components(store(links.unionByName(more), "links"))
+    crowd = store(crowd.join(bitmaps, "id"), "crowd")
+    k = 0
+    while k <= ROUNDS:
+        rows = store(crowd.join(roots, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", "bits", F.coalesce("root", "id").alias("root")), "rooted")
+        edges = store(_apart(rows, similarity, k < ROUNDS), "candidates")
+        more = store(similar_pairs(sets, edges, similarity), "links")
+        found = not more.isEmpty()
+        if found:
+            links = links.unionByName(more)
+            roots = store(components(links), "roots")
+        k = k + 1 if found or k == ROUNDS else ROUNDS  # the last round takes all pairs
+    return roots

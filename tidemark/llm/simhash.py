@@ -318,19 +318,21 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     """docs with one document of each group: that with the smallest doc_id, and of rows that repeat it, one.
 
     Texts of equal words are one. Every pair of the others whose sets of shingle words have at least similarity is a link, and links make
-    the groups. Documents without words are one text; a row without doc_id is neither compared nor dropped. Only ids that stay are joined
+    the groups. Documents without words are one text; a row without doc_id is neither compared nor dropped. Only ids that go are joined
     with the texts.
     """
     own = docs.where("doc_id is not null")
     prints = store(_digests(own), "prints")
     texts = store(prints.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
     repeated = not prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
-    sets = _grams(own.join(texts, F.col("doc_id") == F.col("least"), "left_semi"), shingle)
+    # few ids go, so that joins with them rarely have to shuffle texts
+    copies = store(prints.select(F.col("doc_id").alias("__id")).join(texts, F.col("__id") == F.col("least"), "left_anti").distinct(), "copies")
+    sets = _grams(own.join(copies, F.col("doc_id") == F.col("__id"), "left_anti"), shingle)
     sets = store(sets.groupBy("id").agg(F.max("grams").alias("grams")) if repeated else sets, "grams")
     roots = linked(sets, similarity)
     # roots holds the texts that give way to one of a smaller doc_id
-    stay = texts.join(roots, texts.least == roots.node, "left_anti").select(F.col("least").alias("__id")).distinct()
-    kept = own.join(store(stay, "stay"), F.col("doc_id") == F.col("__id"), "left_semi")
+    gone = store(copies.unionByName(roots.select(F.col("node").alias("__id"))), "gone")
+    kept = own.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
     return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
 
 
