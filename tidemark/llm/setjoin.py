@@ -209,10 +209,11 @@ def _apart(rows: DataFrame, t: float, likest: bool) -> DataFrame:
 
 def similar_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """The rows of edges (a, b: ids of sets) that have at least this Jaccard similarity."""
-    first = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    second = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    ids = edges.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    first, second = (d.join(ids, d[c] == ids["__id"], "left_semi") for d, c in ((first, "a"), (second, "b")))
+    # written ids are known to be few where they are, and then the other sets are not shuffled
+    ids = store(edges.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ids")
+    picked = store(sets.join(ids, F.col("id") == F.col("__id"), "left_semi"), "picked")
+    first = picked.select(F.col("id").alias("a"), F.col("grams").alias("x"))
+    second = picked.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - F.col("shared")
     joined = edges.join(first, "a").join(second, "b").withColumn("shared", shared)
