@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: set[str] = set()
+_roots: set[str] = set()
+_paths: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset in local mode (tests) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark_context: SparkContext, path: str) -> None:
+def delete(spark_context: SparkContext, path: str) -> None:
     jvm = spark_context._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark_context._jsc.hadoopConfiguration()).delete(target, True)
@@ -37,17 +40,19 @@ def _delete(spark_context: SparkContext, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    """Intermediate tables live as long as the application: results read them lazily."""
+    """What is left of the intermediate tables goes with the application: results may read them until then."""
     context = SparkContext._active_spark_context
     if context is not None and context._jsc is not None:
-        for path in sorted(_written):
-            _delete(context, path)
+        for path in sorted(_roots):
+            delete(context, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     base = shared_dir(spark)
-    _written.add(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _roots.add(base)
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +60,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that store() made and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_stored", None)
+        if path in _paths:
+            _paths.remove(path)
+            delete(t.sparkSession.sparkContext, path)
+
+
+def held() -> list[str]:
+    """The intermediate tables that are there, oldest first."""
+    return list(_paths)
+
+
+def release_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in _paths:
+            _paths.remove(path)
+            delete(spark.sparkContext, path)
 
 
 def words(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import release, store
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +61,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        e = store(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = store(e.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = e.join(least, "u")
+        near = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = store(both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        least = store(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(least, "u")
         rewired = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = store(rewired.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        old, mark = mark, _mark(e)
+        new = store(rewired.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        release(e, near, large, least)
+        e, old, mark = new, mark, _mark(new)
         if mark == old:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._stored = e._stored
+    return out
