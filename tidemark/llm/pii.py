@@ -18,6 +18,7 @@ Edge cases: a null text has no spans; repeated rows each get their own row; an e
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,30 +106,43 @@ def _features(shape: str, s: Column, before: Column, after: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima, ... of an array of ints, by doubling: n log n steps, where a growing aggregate would copy n * n values."""
+
+    def doubled(step: int) -> Callable[[Column], Column]:
+        def double(a: Column) -> Column:
+            tail = F.zip_with(F.slice(a, F.lit(step + 1), F.size(a) - step), F.slice(a, F.lit(1), F.size(a) - step), op)
+            return F.when(F.size(a) > step, F.concat(F.slice(a, F.lit(1), F.lit(step)), tail)).otherwise(a)
+
+        return double
+
+    out = values
+    for k in range(31):
+        out = _let(out, doubled(1 << k))
+    return out
+
+
 def _spans(shape: str) -> Column:
     """array<struct<kind, start, end, base, ok, shape, votes, features>> from the columns __m_<shape> (matches) and __p_<shape> (pieces)."""
     kind, _, _, base = SHAPES[shape]
     m, p = F.col(f"__m_{shape}"), F.col(f"__p_{shape}")
-    entry = "array<struct<start:int,end:int>>"
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(m)),
-        F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(p, i - 1)) + F.length(F.get(m, i - 1))).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get(p, i - 1))).alias("start"), (acc["at"] + F.length(F.get(p, i - 1)) + F.length(F.get(m, i - 1))).alias("end"))).alias("out"),
-        ),
-    )["out"]
-
-    def full(x: Column, i: Column) -> Column:
+    lengths = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda x, y: F.length(x) + F.length(y))
+
+    def full(end: Column, i: Column) -> Column:
         s, before, after = F.get(m, i), F.right(F.get(p, i), F.lit(32)), F.left(F.get(p, i + 1), F.lit(2))
         ok = _valid(kind if base else "", s)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), ok.alias("ok"), F.lit(shape).alias("shape"),
+            F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(s)).alias("start"), end.alias("end"), F.lit(base).alias("base"), ok.alias("ok"), F.lit(shape).alias("shape"),
             _votes(shape, s, before, after, ok).alias("votes"), _features(shape, s, before, after).alias("features"),
         )
 
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,ok:boolean,shape:string,votes:string,features:array<string>>>")
-    return F.when(F.size(m) > 0, F.transform(walked, full)).otherwise(empty)
+    return F.when(F.size(m) > 0, F.transform(_scan(lengths, lambda x, y: x + y), full)).otherwise(empty)
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -204,8 +218,26 @@ def classified(found: DataFrame) -> DataFrame:
     bound = math.log(CERTAIN / (1 - CERTAIN))
     likely = F.filter("__spans", lambda x: ~x["base"] & (score(x) >= bound)) if votes else F.filter("__spans", lambda x: F.lit(False))
     d = found.withColumn("__base", base).withColumn("__likely", F.array_sort(F.transform(likely, place)))
-    free = F.filter("__likely", lambda x: ~F.exists("__base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return d.withColumn("__added", free).drop("__likely", "__spans")
+    return d.withColumn("__added", F.when(F.size("__likely") > 0, _free()).otherwise(F.col("__likely"))).drop("__likely", "__spans")
+
+
+def _free() -> Column:
+    """The spans of __likely that overlap none of __base: from both in order, the greatest end of a base span so far and the least start of
+    one from here on."""
+    both = F.array_sort(F.concat(
+        F.transform("__base", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("own"), x["kind"].alias("kind"), x["end"].alias("end"))),
+        F.transform("__likely", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("own"), x["kind"].alias("kind"), x["end"].alias("end"))),
+    ))
+    far = (1 << 31) - 1
+
+    def judged(spans: Column) -> Column:
+        ends = _scan(F.transform(spans, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y))
+        starts = F.reverse(_scan(F.reverse(F.transform(spans, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far))), lambda x, y: F.least(x, y)))
+        tagged = F.arrays_zip(spans.alias("s"), ends.alias("e"), starts.alias("n"))
+        free = F.filter(tagged, lambda x: (x["s"]["own"] == 1) & (x["e"] <= x["s"]["start"]) & (x["n"] >= x["s"]["end"]))
+        return F.transform(free, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end")))
+
+    return _let(both, judged)
 
 
 def _written(spans: Column) -> Column:
@@ -213,21 +245,36 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
+#: Characters of a piece of a text that is cut many times.
+PIECE = 1024
+
+
+def _between(text: Column, pieces: Column, start: Column, end: Column) -> Column:
+    """text from start to end, from its pieces: counting characters begins in the piece and not at the text's beginning."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor(end / PIECE).cast("int") - first + 1
+    some = F.array_join(F.slice(pieces, first + 1, count), "")
+    return F.when(end <= start, "").otherwise(F.substring(some, start - first * PIECE + 1, end - start))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets; overlapping spans become one."""
+    """docs with each span of text replaced by its kind in brackets; of overlapping spans the first one's, from its start to their last end."""
     d = classified(store(candidates(docs), "candidates"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, pieces = F.col("text"), F.col("__pieces")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def replaced(spans: Column) -> Column:
+        ends = _scan(F.transform(spans, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        fresh = F.filter(F.arrays_zip(spans.alias("s"), before.alias("b")), lambda x: x["s"]["start"] >= x["b"])
+        parts = F.transform(fresh, lambda x: F.concat(_between(text, pieces, x["b"], x["s"]["start"]), F.get(names, x["s"]["kind"])))
+        return F.concat(F.array_join(parts, ""), _between(text, pieces, F.array_max(ends), F.length(text)))
 
     d = d.withColumn("__all", F.array_sort(F.concat("__base", "__added")))
-    folded = F.aggregate("__all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("__all") > 0, folded).otherwise(F.col("text"))
-    return d.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    d = d.withColumn("__pieces", F.when(F.size("__all") > 0, cut).otherwise(F.array().cast("array<string>")))
+    out = F.when(F.size("__all") > 0, _let(F.col("__all"), replaced)).otherwise(text)
+    return d.select(*[out.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
