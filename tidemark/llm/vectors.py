@@ -1,15 +1,22 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Equal vectors meet first and stand for each other. K-means on a bounded sample gives the cluster centres; a vector belongs to each shard
-whose centre is within ``margin`` of its best one, and its best is its home. Its best two also have it as a node of their graph: a node's
-candidates are its nearest nodes and some far ones, robust pruning drops a candidate that a kept one is closer to. The adjacency lists of a
-node from its overlapping shards are united. In each of its shards a vector searches greedily from medoids (farthest-first entry points),
-then expands the range: every node found within the radius is expanded in turn until no new one is found. Hits are verified in double precision and count only where their home is,
-so no pair counts twice. For two samples of queries brute force over all vectors gives the true links: the first sets the margin that
-reaches their homes, the second audits the recall; short of ``target`` the margin doubles and the search runs again. Shards of more than ``BLOCK`` rows are cut into blocks, searched from each other block in its own task.
-
-Edge cases: vectors that are null, zero, hold null or non-finite components, or differ in length from most, link with nothing; repeated rows
-link with each other; a null vec_id is its own component; an empty table gives an empty result; other columns don't matter.
+Equal vectors meet first and stand for each other; vectors of different lengths are separate tables. K-means on a bounded sample gives the
+cluster centres; a vector belongs to each shard whose centre is within ``margin`` of its best one, and its best is its home. Its best two
+also have it as a node of their graph: a node's candidates are its nearest nodes and some far ones, robust pruning drops a candidate that a
+kept one is closer to. The adjacency lists of a node from its overlapping shards are united. In each of its shards a vector searches
+greedily from medoids (farthest-first entry points), then expands the range: every node found within the radius is expanded in turn until
+no new one is found. Hits near the radius are verified in double precision, and count only where their home is, so no pair counts twice. A
+hit whose node can't reach the query's home in turn, or that only one of two rows of a block found, counts for both.
+
+For two samples of queries brute force over all vectors gives the true links: the first sets the margin that reaches their homes, the second
+audits the recall; both are means over queries, so no large group hides the rest, and are drawn larger while few queries have links.
+Short of ``target`` the margin doubles and the search runs again; a recall under ``LEAST`` at the widest margin is an error. Shards of more
+than ``BLOCK`` rows are cut into blocks, searched from each other block in its own task: beyond about ``SHARDS`` * ``BLOCK`` different
+vectors, work grows with the square of a shard's rows.
+
+Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing; repeated rows link with each other; rows
+that repeat a vec_id are vectors of their own; a null vec_id is its own component; an empty table gives an empty result; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import release, store, table
 from .components import components
 
 #: Vectors of a shard on average, most shards, vectors that k-means sees, most rows of a block.
 SHARD, SHARDS, SAMPLE, BLOCK = 160, 2048, 16_384, 3072
 #: Shards whose graphs have a vector as a node.
 OVERLAP = 2
+#: Queries of a sample that must have links, if there are any; most queries of a sample; least recall.
+LINKED, QUERIES, LEAST = 40, 4096, 0.9
 #: Margin where no query of the sample has a link; hundredths of a margin, at most 2 between unit vectors.
 WIDE, GAPS = 0.12, 202
 NEAREST, FAR, DEGREE, ALPHA, ENTRIES, BEAM = 40, 16, 24, 1.2, 24, 12
@@ -175,8 +184,13 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, radius:
         yield tuple(np.concatenate([f[k] for f in found]) + (lo if k == 0 else 0) for k in (0, 1, 2))
 
 
+def _nodes(sims: np.ndarray) -> np.ndarray:
+    """The shards that have each row as a node, from its cosines with the centres."""
+    return sims >= np.partition(sims, -OVERLAP, axis=1)[:, -OVERLAP, None] if sims.shape[1] > OVERLAP else np.ones(sims.shape, bool)
+
+
 def _members(reps: DataFrame, c: np.ndarray, margin: float, dim: int) -> DataFrame:
-    """(shard, home, node, rep, copies, vec) for each shard of each vector."""
+    """(shard, home: the home shard, node, rep, copies, vec) for each shard of each vector."""
     shared = reps.sparkSession.sparkContext.broadcast(c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +199,12 @@ def _members(reps: DataFrame, c: np.ndarray, margin: float, dim: int) -> DataFra
                 part = batch.slice(lo, 2048)
                 sims = _unit(_matrix(part.column(2), dim)) @ shared.value.T
                 home = sims.argmax(1)
-                node = sims >= np.partition(sims, -OVERLAP, axis=1)[:, -OVERLAP, None] if sims.shape[1] > OVERLAP else np.ones(sims.shape, bool)
+                node = _nodes(sims)
                 r, s = np.nonzero(node | (sims >= sims.max(1, keepdims=True) - margin))
                 taken = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(home[r] == s), pa.array(node[r, s]), *taken.columns], ["shard", "home", "node", "rep", "copies", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(home[r].astype(np.int32)), pa.array(node[r, s]), *taken.columns], ["shard", "home", "node", "rep", "copies", "vec"])
 
-    return reps.mapInArrow(run, "shard int, home boolean, node boolean, rep long, copies long, vec array<double>")
+    return reps.mapInArrow(run, "shard int, home int, node boolean, rep long, copies long, vec array<double>")
 
 
 def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: int) -> DataFrame:
@@ -225,7 +239,11 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
         cells = cells.unionByName(placed(many, "block", "other", True, "block = other")).unionByName(placed(many.where("other != block"), "other", "block", False, "true"))
         cells = cells.unionByName(placed(asking, "other", "block", False, "true"))
 
-    def look(t: pa.Table) -> pa.Table:
+    centre = reps.sparkSession.sparkContext.broadcast(c)
+    near = max(1e-5, dim * 1.2e-7)  # what 32-bit products may be off by
+
+    def look(key: tuple, t: pa.Table) -> pa.Table:
+        shard = int(key[0].as_py())
         x = _unit(_matrix(t.column("vec"), dim))
         ids, copies, home = (t.column(k).to_numpy() for k in ("rep", "copies", "home"))
         node, query = np.flatnonzero(t.column("node").to_numpy()), np.flatnonzero(t.column("query").to_numpy())
@@ -239,113 +257,143 @@ def _links(reps: DataFrame, c: np.ndarray, margin: float, cosine: float, dim: in
             v = np.array(lists[k] or [], np.int64)
             at = np.minimum(np.searchsorted(own, v), len(own) - 1)
             local.append(at[own[at] == v])
-        parent = np.arange(len(ids))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        n = np.zeros(len(ids), np.int64)
-        hit = np.zeros(len(ids), bool)
-        for r, c, s in search(x[node].astype(np.float32), local, x[query].astype(np.float32), cosine - 1e-5):
-            r, c = query[r], node[c]
-            close = np.abs(s - cosine) < 1e-5
-            good = np.where(close, np.einsum("ij,ij->i", x[r], x[c]) >= cosine, True) & (ids[r] != ids[c]) & home[c]
-            r, c = r[good], c[good]
-            np.add.at(n, r, copies[c])
-            hit[r] = True
-            order = np.argsort(r, kind="stable")
-            r, c = r[order], c[order]
-            cut = np.flatnonzero(np.diff(r)) + 1
-            parent = parent[parent]
-            for q, group in zip(r[np.concatenate(([0], cut))] if len(r) else [], np.split(c, cut), strict=False):
-                for top in np.unique(parent[group]).tolist():
-                    a, b = root(int(q)), root(int(top))
-                    if a != b:
-                        parent[b if ids[a] < ids[b] else a] = a if ids[a] < ids[b] else b
-        at = np.flatnonzero(hit)
-        return pa.table({"rep": ids[at], "n": n[at], "root": pa.array([int(ids[root(int(k))]) for k in at], pa.int64())})
+        linked = np.zeros((len(ids), len(ids)), bool)
+        for r, c_, s in search(x[node].astype(np.float32), local, x[query].astype(np.float32), cosine - near):
+            r, c_ = query[r], node[c_]
+            close = s < cosine + near
+            good = (ids[r] != ids[c_]) & (home[c_] == shard)
+            good[close & good] &= np.einsum("ij,ij->i", x[r[close & good]], x[c_[close & good]]) >= cosine
+            linked[r[good], c_[good]] = True
+        both = np.flatnonzero((home == shard) & t.column("node").to_numpy() & t.column("query").to_numpy())
+        linked[np.ix_(both, both)] |= linked[np.ix_(both, both)].T
+        n = linked @ copies
+        r, c_ = np.nonzero(linked & (home != shard)[:, None])
+        if len(r):  # nodes that don't search in the home of a query from elsewhere
+            those, at = np.unique(c_, return_inverse=True)
+            sims = x[those] @ centre.value.T
+            absent = ~_nodes(sims) & (sims < sims.max(1, keepdims=True) - margin)
+            alone = absent[at, home[r]]
+            np.add.at(n, c_[alone], copies[r[alone]])
+        label = np.arange(len(ids))
+        r, c_ = np.nonzero(linked)
+        while len(r):  # the smallest label of all that are linked
+            new = label.copy()
+            np.minimum.at(new, r, label[c_])
+            np.minimum.at(new, c_, label[r])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        root = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(root, label, ids)
+        at = np.flatnonzero(linked.any(0) | linked.any(1))
+        return pa.table({"rep": ids[at], "n": n[at], "root": root[label[at]]})
 
     return cells.groupBy("shard", "i", "j").applyInArrow(look, "rep long, n long, root long")
 
 
 def _true_links(reps: DataFrame, sample: np.ndarray, c: np.ndarray, cosine: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Brute force over all vectors for a sample of queries, in blocks: (weighted neighbours of each, itself included; by hundredths of the
-    margin that it takes, the neighbours whose home it reaches)."""
+    """Brute force over all vectors for a sample of queries, in blocks: (weighted neighbours of each, itself included; of each query, by
+    hundredths of the margin that it takes, the neighbours whose home it reaches, itself not included)."""
     shared = reps.sparkSession.sparkContext.broadcast((sample, c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, centre = shared.value
         to_centres = queries @ centre.T
         gaps = to_centres.max(1, keepdims=True) - to_centres
-        total, reach = np.zeros(len(queries), np.int64), np.zeros(GAPS, np.int64)
+        out = np.zeros((len(queries), GAPS + 1), np.int64)
         for batch in batches:
             x, copies = _unit(_matrix(batch.column(2), dim)), batch.column(1).to_numpy()
             for lo in range(0, len(x), 4096):
                 y = x[lo : lo + 4096]
-                hits = y @ queries.T >= cosine
-                total += copies[lo : lo + 4096] @ hits
+                sims = y @ queries.T
+                hits = sims >= cosine
+                out[:, GAPS] += copies[lo : lo + 4096] @ hits
                 some = np.flatnonzero(hits.any(1))
-                r, q = np.nonzero(hits[some])
+                r, q = np.nonzero(hits[some] & (sims[some] < 1 - 1e-12))
                 home = (y[some] @ centre.T).argmax(1)
-                reach += np.bincount((gaps[q, home[r]] * 100).astype(np.int64), minlength=GAPS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-GAPS, len(total), dtype=np.int32)), pa.array(np.concatenate((reach, total)))], ["i", "n"])
+                np.add.at(out, (q, (gaps[q, home[r]] * 100).astype(np.int64)), 1)
+        at = np.flatnonzero(out.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out.ravel()[at])], ["i", "n"])
 
-    out = np.zeros(GAPS + len(sample), np.int64)
+    out = np.zeros(len(sample) * (GAPS + 1), np.int64)
     for r in reps.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"] + GAPS] = r["n"]
-    return out[GAPS:], out[:GAPS]
+        out[r["i"]] = r["n"]
+    out = out.reshape(len(sample), GAPS + 1)
+    return out[:, GAPS], out[:, :GAPS]
 
 
-def _margin(reach: np.ndarray, links: int) -> float:
-    """The margin that reaches 999 of 1,000 true links, and two hundredths more; WIDE without links to measure."""
-    if not links:
+def _margin(reach: np.ndarray) -> float:
+    """The margin at which queries reach 999 of 1,000 of their true links on average, and two hundredths more; WIDE without links."""
+    total = reach.sum(1)
+    if not total.any():
         return WIDE
-    return (int(np.searchsorted(np.cumsum(reach), 0.999 * reach.sum())) + 1) / 100 + 0.02
+    share = (reach[total > 0] / total[total > 0, None]).mean(0)
+    return (int(np.searchsorted(np.cumsum(share), 0.999)) + 1) / 100 + 0.02
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, target: float = 0.99, audit: int = 256) -> DataFrame:
-    """(vec_id, n_links, component_id, recall), a row for each row of vectors."""
+    """(vec_id, n_links, component_id, recall), a row for each row of vectors; recall is that of the vector's length."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
-    raw = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), vec.alias("vec"))
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    usual = raw.where(F.size("vec") > 0).groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = raw.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1.0).alias("recall"))
-    if usual is None:
-        return alone
-    dim = usual["d"]
-    keyed = store(raw.withColumn("ok", F.coalesce(finite & (F.size("vec") == dim), F.lit(False))).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), "vec")), "vectors")
-    reps = store(keyed.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "representatives")
+    raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    ok = F.coalesce(finite & F.col("vec_id").isNotNull(), F.lit(False))
+    keyed = raw.withColumn("dim", F.when(ok, F.size("vec"))).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), "vec"))
+    keyed = store(keyed, "vectors")
+    out = keyed.where("dim is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1.0).alias("recall"))
+    for row in keyed.where("dim is not null").groupBy("dim").count().orderBy("dim").collect():  # a row for each length of vectors
+        known, recall = _of_length(keyed.where(F.col("dim") == row["dim"]), row["dim"], cosine, target, audit)
+        some = keyed.where(F.col("dim") == row["dim"]).select("vec_id", "k1", "k2").join(known, ["k1", "k2"])
+        out = out.unionByName(some.select("vec_id", "n_links", "component_id", F.lit(recall).alias("recall")))
+    return out
+
+
+def _of_length(keyed: DataFrame, dim: int, cosine: float, target: float, audit: int) -> tuple[DataFrame, float]:
+    """((k1, k2, n_links, component_id), recall) for vectors (vec_id, vec, k1, k2) of one length."""
+    equal = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    reps = store(equal.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     n = reps.count()
-    if n == 0:
-        return alone
     plain = reps.select("rep", "copies", "vec")
-    ordered = plain.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect() if n <= SAMPLE else plain.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) <= int((1 << 20) * 1.2 * SAMPLE / n)).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    chance = F.pmod(F.xxhash64("vec"), F.lit(1 << 20))
+    some = plain if n <= SAMPLE else plain.where(chance <= int((1 << 20) * 1.2 * SAMPLE / n))
+    ordered = some.orderBy(F.xxhash64("vec"), "rep").limit(SAMPLE).collect()
     sample = _unit(np.array([r["vec"] for r in ordered]))
     c = centres(sample, max(1, min(SHARDS, len(sample), n // SHARD)))
     weights = np.array([r["copies"] for r in ordered])
-    truth, reach = _true_links(plain, sample[: 2 * audit : 2], c, cosine, dim)
-    margin = _margin(reach, int((truth - weights[: 2 * audit : 2]).sum()))
-    ids = [r["rep"] for r in ordered[1 : 2 * audit : 2]]
-    truth = _true_links(plain, sample[1 : 2 * audit : 2], c, cosine, dim)[0] - weights[1 : 2 * audit : 2] if ids else np.zeros(0, np.int64)
+
+    def measured(first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of a sample of queries, their true links, their reach): larger while few have links."""
+        size = audit
+        while True:
+            at = np.arange(first, min(2 * size, len(sample)), 2)
+            links, reach = _true_links(plain, sample[at], c, cosine, dim)
+            links = links - weights[at]
+            if (links > 0).sum() >= LINKED or 2 * size >= len(sample) or size >= QUERIES:
+                return at, links, reach
+            size *= 4
+
+    margin = _margin(measured(0)[2])
+    at, truth, _ = measured(1)
+    ids = [ordered[k]["rep"] for k in at]
     while True:
         links = store(_links(plain, c, margin, cosine, dim), "links")
-        got = {r["rep"]: r["n"] for r in links.where(F.col("rep").isin(ids)).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-        recall = float(sum(min(got.get(i, 0), t) for i, t in zip(ids, truth.tolist(), strict=True)) / truth.sum()) if truth.sum() else 1.0
+        got = {r["rep"]: r["n"] for r in links.where(F.col("rep").isin(ids)).groupBy("rep").agg(F.sum("n").alias("n")).collect()} if ids else {}
+        shares = [min(got.get(i, 0), t) / t for i, t in zip(ids, truth.tolist(), strict=True) if t > 0]
+        recall = float(np.mean(shares)) if shares else 1.0
         if recall >= target or margin > 2:
             break
+        release(links)
         margin *= 2
+    if recall < LEAST:
+        raise RuntimeError(f"the search found {recall:.3f} of the true links of its sample at the widest margin")
     roots = components(links.where("rep != root").select("rep", "root"))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = reps.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = store(known.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "known")
-    some = keyed.where("ok").select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    rest = keyed.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return some.unionByName(rest).withColumn("recall", F.lit(recall))
+    known = reps.select("k1", "k2", "rep", "copies", "least").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    known = store(known.select("k1", "k2", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("group")), "known")
+    names = store(known.groupBy("group").agg(F.min("least").alias("component_id")), "names")
+    return known.join(names, "group").select("k1", "k2", "n_links", "component_id"), recall
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")
