@@ -1,19 +1,23 @@
 """Duplicate passages by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself: a window (``window`` consecutive words) is known to a document if it also starts in a document with a
-smaller doc_id. Each document is parsed greedily from left to right: at a position whose window is known, a factor begins and runs as far
-as one window after the other is known; the windows that straddle a factor's end are looked up too, so a passage that goes on in
-another earlier document is not lost at the boundary. Words covered by factors, all of at least ``window`` words, are the duplicate spans.
-
-The index of the reference is dealt into blocks by content. Of the ``seed``-word grams of a window the one with the least hash is its
-anchor, so equal windows have equal anchors, and about one position in 22 is an anchor. Anchors that start in two documents or more mark
-bits in a bitmap of a fixed size (``BITMAP_BITS``), the only thing that is broadcast; a window whose anchor's bit is clear is unknown
-anywhere else. The others are hashed, and each block of the index (a partition by window hash) keeps the smallest document for each window,
-partly summed before the shuffle, so a passage that a third of all documents share is no hot key. What is known is then sent to the owning
-documents instead of joined by window: a document's candidates that it does not own are known from an earlier one.
-
-Windows are compared by 64-bit hashes. Edge cases: a null text has no words; documents of fewer words than a window lose none; a null doc_id
-neither loses words nor is a reference; rows that repeat a doc_id don't count as earlier than each other; an empty table gives an empty
+The reference is the corpus itself: a document is parsed against all documents of smaller doc_id. A window (``window`` consecutive words) is
+known to a document if it also starts in such a document; known windows next to each other are a run, and a run is parsed greedily from
+left to right. Its first window is looked up in the index of the reference, which says where it starts first (document and position); from
+there on document and reference are compared word by word, as far as they agree: that is a factor, with its source. If the run goes on, the
+window that straddles the factor's end is known as well and is looked up next, so passages that go on in another document are not lost at
+a boundary. A run is removed where factors of at least ``window`` words cover it. All runs of all documents are parsed at once; after
+``ROUNDS`` factors of a run, what is left of it is looked up window by window in one step.
+
+The index is dealt into blocks by content. Of the ``seed``-word grams of a window the one with the least hash is its anchor, so equal windows
+have equal anchors, and about one position in 22 is an anchor. Anchors that start in two documents or more mark bits in a bitmap of a fixed
+size (``BITMAP_BITS``), the only thing that is broadcast; a window whose anchor's bit is clear is unknown anywhere else. The others are
+hashed, and each block of the index (a partition by window hash) keeps the smallest document and position for each window, partly
+summed before the shuffle, so a passage that a third of all documents share is no hot key. Which windows are known is found by sending each
+document the windows that it owns: a candidate that it does not own is known from an earlier one.
+
+Hashes (64 bits) only find candidates; words decide. Edge cases: a null text has no words; documents of fewer words than a window lose
+none; a null doc_id neither loses words nor is a reference; rows that repeat a doc_id don't count as earlier than each other and share
+what the index holds of it, so that a window known only by another of these rows counts as their own; an empty table gives an empty
 result; other columns don't matter.
 """
 
@@ -23,73 +27,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, store, table
+from .rolling import Rolling
 
 WINDOW, SEED = 50, 8
 #: Bits of the map of shared anchors; more anchors only make it less selective.
 BITMAP_BITS = 1 << 26
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Factors of a run that are parsed one after the other.
+ROUNDS = 6
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Parser:
+class Parser(Rolling):
     """Hashes of a document's windows and anchors."""
 
     def __init__(self, window: int = WINDOW, seed: int = SEED) -> None:
-        self.window, self.seed, self.hashes = window, seed, _Hashes()
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _scale(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers))
-            ones = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-            for x in ones:
-                x[0] = 1
-            self.powers, self.inverse = (np.multiply.accumulate(x) for x in ones)
-
-    def _sums(self, words: list[bytes]) -> np.ndarray:
-        n = len(words)
-        self._scale(n)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self.powers[:n], dtype=np.uint64)))
-
-    def _grams(self, sums: np.ndarray, k: int) -> np.ndarray:
-        """The hash of the k words from each position on."""
-        h = sums[k:] - sums[:-k]
-        return _mixed(h * self.inverse[: len(h)])
+        super().__init__()
+        self.window, self.seed = window, seed
 
     def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(prefix sums, anchor hash of each window)."""
-        sums = self._sums(words)
-        grams = self._grams(sums, self.seed)
+        sums = self.sums(words)
+        grams = self.grams(sums, self.seed)
         return sums, _sliding_min(grams, self.window - self.seed + 1)
 
     def windows(self, sums: np.ndarray) -> np.ndarray:
-        return self._grams(sums, self.window)
+        return self.grams(sums, self.window)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -102,16 +67,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def factors(known: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors (start, end) in words: known[i] tells whether the window at i is known; factors that touch or overlap at a boundary merge."""
-    at = np.flatnonzero(known)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > window)
-    firsts, lasts = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))]
-    return [(int(a), int(b) + window) for a, b in zip(firsts, lasts, strict=True)]
-
-
 def _words(x: pa.Scalar) -> list[bytes]:
     return x.as_buffer().to_pybytes().split() if x.is_valid else []  # at \x20 and \x09-\x0D only
 
@@ -149,11 +104,21 @@ def _candidates(parser: Parser, bitmap: np.ndarray, words: list[bytes]) -> tuple
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1, parser.windows(sums)
 
 
-def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_words, n_removed, factors: array of (start, end) in words, kept: the words left, joined by spaces), a row for each of docs."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_shared_anchors(docs, window, seed))
+def runs(known: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(start, end) in words of the runs of known windows: known[i] tells whether the window at i is known."""
+    at = np.flatnonzero(known)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > 1)
+    firsts, lasts = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))]
+    return [(int(a), int(b) + window) for a, b in zip(firsts, lasts, strict=True)]
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _index(docs: DataFrame, bitmap, window: int, seed: int) -> DataFrame:
+    """(w, source: (doc_id, at)): where each window that may be shared starts first."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window, seed)
@@ -163,44 +128,179 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 if i is None or len(words) < window:
                     continue
                 some, w = _candidates(parser, bitmap.value, words)
-                if some.any():
-                    w = np.unique(w[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), i, np.int64))], ["w", "doc_id"])
+                at = np.flatnonzero(some)
+                if len(at):
+                    own, first = np.unique(w[at], return_index=True)
+                    columns = [pa.array(own.view(np.int64)), pa.array(np.full(len(own), i, np.int64)), pa.array(at[first])]
+                    yield pa.RecordBatch.from_arrays(columns, ["w", "doc_id", "at"])
 
-    index = docs.mapInArrow(emit, "w long, doc_id long").groupBy("w").agg(F.min("doc_id").alias("owner"))
-    owned = index.groupBy("owner").agg(F.collect_list("w").alias("owned"))
+    rows = docs.mapInArrow(emit, "w long, doc_id long, at long")
+    return rows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("source"))
+
+
+def _known(docs: DataFrame, index: DataFrame, bitmap, window: int, seed: int) -> DataFrame:
+    """(doc_id, n_words, runs, text): text is that of the words, one space between them."""
+    owned = index.groupBy(F.col("source.doc_id").alias("owner")).agg(F.collect_list("w").alias("owned"))
     joined = docs.join(owned, docs.doc_id == owned.owner, "left").select("doc_id", "text", "owned")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window, seed)
         for batch in batches:
             out: list[tuple] = []
             for i, x, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = _words(x)
-                n, spans = len(words), []
-                if i is not None and n >= window:
+                found: list[tuple[int, int]] = []
+                if i is not None and len(words) >= window:
                     some, w = _candidates(parser, bitmap.value, words)
                     at = np.flatnonzero(some)
                     if len(at):
                         mine = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else np.zeros(0, np.uint64)
                         some[at[np.isin(w[at], mine)]] = False
-                        spans = factors(some, window)
-                for a, b in reversed(spans):
-                    del words[a:b]
-                out.append((i, n, n - len(words), [{"start": a, "end": b} for a, b in spans], b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "factors", "kept"])
+                        found = runs(some, window)
+                out.append((i, len(words), [{"start": a, "end": b} for a, b in found], b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "runs", "text"])
+
+    kinds = [pa.int64(), pa.int64(), _RUNS, pa.binary()]
+    return joined.mapInArrow(find, "doc_id long, n_words long, runs array<struct<start:long,end:long>>, text binary")
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    return joined.mapInArrow(parse, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept binary")
 
+def _asked(found: DataFrame, window: int) -> DataFrame:
+    """(row, start, text, w): each run's words and the hash of its first window; row numbers the rows of found."""
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): each document's words that no earlier document has in a window with its neighbours."""
-    return parsed(docs, id_col, text_col).select("doc_id", F.col("kept").cast("string").alias("text"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, x, spans in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(1).to_pylist(), strict=True):
+                words = _words(x)
+                rows += [(row, s["start"], b" ".join(words[s["start"] : s["end"]])) for s in spans]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["row", "start", "text"])
+
+    types = (pa.int64(), pa.int64(), pa.binary())
+    return found.where(F.size("runs") > 0).select("row", "runs", "text").mapInArrow(cut, "row long, start long, text binary")
+
+
+def _parse(asked: DataFrame, index: DataFrame, docs: DataFrame, window: int, each: bool = False) -> DataFrame:
+    """One step: (row, start, end, source, source_start, rest, rest_start) for each run of asked (row, start, text); rest: the words from the
+    window on that straddles the factor's end, null if the run is done. each: every window is asked for, and there is no rest."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            rows = []
+            for row, start, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = _words(x)
+                if each:
+                    hashes = rolling.grams(rolling.sums(words), window).view(np.int64).tolist()
+                    rows += [(row, start + k, h, b" ".join(words[k : k + window])) for k, h in enumerate(hashes)]
+                else:
+                    rows.append((row, start, int(rolling.grams(rolling.sums(words[:window]), window).view(np.int64)[0]), x.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["row", "start", "w", "text"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, last, words = [], None, []
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for (row, start, source, at), own, ref in zip(zip(*columns, strict=True), batch.column(4), batch.column(5), strict=True):
+                mine = _words(own)
+                text = ref.as_buffer()
+                if last is None or not last.equals(text):
+                    last, words = text, _words(ref)
+                size, most = 0, min(len(mine), len(words) - at)
+                while size < most and mine[size] == words[at + size]:
+                    size += 1
+                rest, skip = None, max(1, size - window + 1)
+                if not each and size < len(mine) >= skip + window:
+                    rest = b" ".join(mine[skip:])
+                rows.append((row, start, start + size, source, at, rest, start + skip))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    types = (*[pa.int64()] * 5, pa.binary(), pa.int64())
+    names = ["row", "start", "end", "source", "source_start", "rest", "rest_start"]
+    asked = asked.mapInArrow(ask, "row long, start long, w long, text binary").join(index, "w")
+    asked = asked.select("row", "start", F.col("source.doc_id").alias("source"), F.col("source.at").alias("at"), "text")
+    asked = store(asked, "asked")
+    needed = store(asked.select(F.col("source").alias("__id")).distinct(), "sources")
+    texts = docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("source"), F.col("text").alias("ref"))
+    met = asked.join(texts, "source").select("row", "start", "source", "at", "text", "ref")
+    out = store(met.mapInArrow(extend, "row long, start long, end long, source long, source_start long, rest binary, rest_start long"), "factors")
+    release(asked, needed)
+    return out
+
+
+def factors(found: DataFrame, index: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, start, end, source, source_start): the greedy factors of all runs of found (row, runs, text), words compared."""
+    asked, done = store(_asked(found, window), "runs"), None
+    for k in range(ROUNDS + 1):
+        step = _parse(asked, index, docs, window, k == ROUNDS)
+        new = step.where(F.col("end") - F.col("start") >= window).select("row", "start", "end", "source", "source_start")
+        done = new if done is None else done.unionByName(new)
+        release(asked)
+        asked = store(step.where("rest is not null").select("row", F.col("rest_start").alias("start"), F.col("rest").alias("text")), "runs")
+        if asked.isEmpty():
+            break
+    release(asked)
+    return done
+
+
+def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_words, n_removed, factors: array of (start, end) in words, kept: the words left, joined by spaces), a row for each of docs.
+
+    Where factors cover every run, as they do unless two windows share a hash, runs are what is removed, and texts need not be joined with
+    factors; else the rows that are short of factors get theirs by a join.
+    """
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(_shared_anchors(docs, window, seed))
+    index = store(_index(docs, bitmap, window, seed), "index")
+    found = store(_known(docs, index, bitmap, window, seed).withColumn("row", F.monotonically_increasing_id()), "known")
+    got = store(factors(found, index, docs, window), "parsed")
+    covered = got.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("got"))
+    claimed = found.where(F.size("runs") > 0).select("row", "runs").join(covered, "row", "left")
+    short = store(claimed.where(~_covers(F.coalesce("got", F.array().cast("array<struct<start:long,end:long>>")), F.col("runs"))).select(F.col("row").alias("__row"), "got"), "short")
+    if short.isEmpty():
+        return _without(found, F.col("runs"), window)
+    whole = found.join(short.select("__row"), F.col("row") == F.col("__row"), "left_anti")
+    rest = found.join(short, F.col("row") == F.col("__row")).withColumn("runs", F.coalesce("got", F.array().cast("array<struct<start:long,end:long>>"))).select(*found.columns)
+    return _without(whole, F.col("runs"), window).unionByName(_without(rest, F.col("runs"), window))
+
+
+def _covers(parts, spans):
+    """Whether parts, in order of their starts, cover each of spans."""
+
+    def reach(span):
+        return F.aggregate(parts, span["start"], lambda at, x: F.when((x["start"] <= at) & (x["end"] > at), x["end"]).otherwise(at)) >= span["end"]
+
+    return F.forall(spans, reach)
+
+
+def _without(found: DataFrame, spans, window: int) -> DataFrame:
+    """parsed()'s columns: found with the words of spans (which may touch or overlap) taken out."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, n, gone, x in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                merged: list[list[int]] = []
+                for s in sorted((s["start"], s["end"]) for s in gone):
+                    if merged and s[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], s[1])
+                    else:
+                        merged.append(list(s))
+                if not merged:
+                    out.append((i, n, 0, [], x.as_py()))
+                    continue
+                words = _words(x)
+                for a, b in reversed(merged):
+                    del words[a:b]
+                out.append((i, n, n - len(words), [{"start": a, "end": b} for a, b in merged], b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "factors", "kept"])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), _RUNS, pa.binary()]
+    chosen = found.select("doc_id", "n_words", spans.alias("runs"), "text")
+    return chosen.mapInArrow(take, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept binary")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parsed(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
