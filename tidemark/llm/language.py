@@ -2,16 +2,17 @@
 
 A text's subwords are the byte n-grams (``GRAMS``) of its lower-cased letters, with each word bordered by spaces; n-grams that reach over a
 border don't count. Hashed into ``BUCKETS`` embeddings and averaged, they go through a linear softmax. Both layers are trained together by
-stochastic gradient descent in numpy on a sample of at most ``SAMPLE`` labelled documents (a documented bound; whole texts, evenly by label),
-of which the last part is kept to fit a temperature and the score below which a prediction is rejected (column ``rejected``).
+stochastic gradient descent in numpy on a sample of labelled documents (whole texts, as evenly by label as there are; a documented bound:
+at most ``SAMPLE``, or ``EACH`` of each label if these are more), of which the last part is kept to fit a temperature and the score below which a prediction is rejected (column ``rejected``).
 
 Prediction covers whole texts of all documents. Edge cases: a text that is null or has no letter is "und" with score 0; with no labelled
 document at all everything is "und"; repeated rows are predicted each for themselves; an empty table gives an empty result; only the text
-is an input of a prediction.
+is an input of a prediction. Other columns are carried along, but those named like a new one give way.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import store, table
 
-BUCKETS, DIMENSIONS, GRAMS, SAMPLE = 4096, 16, (2, 3, 4), 3000
+BUCKETS, DIMENSIONS, GRAMS, SAMPLE, EACH = 4096, 16, (2, 3, 4), 3000, 10
 #: Share of the kept-back documents that calibrated rejection may reject.
 REJECTED = 0.01
 _LETTER = regex.compile(r"\p{L}")
@@ -110,26 +111,36 @@ def train(counts: np.ndarray, names: list[str], seed: int = 5, epochs: int = 25,
 
 
 def learned(labelled: DataFrame) -> Model | None:
-    """A model from at most SAMPLE rows of labelled (doc_id, text, lang), as evenly over labels as they allow; None without any."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()
-    if not sizes:
+    """A model from the sample of labelled (doc_id, text, lang), every label included; None without any."""
+    sizes = store(labelled.groupBy("lang").agg(F.count("*").alias("__n")), "labels").withColumnRenamed("lang", "__lang")
+    labels = sizes.count()
+    if not labels:
         return None
-    each = max(1, SAMPLE // len(sizes))
-    range_ = 1 << 30
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, each / r["n"]) * range_)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(range_)) < share)
+    each = max(EACH, SAMPLE // labels)
+    # a few more than needed, of which the driver keeps those of least hash
+    share = F.least(F.lit(1.0), (1.2 * each + 20) / F.col("__n")) * (1 << 30)
+    chance = F.xxhash64("doc_id", F.lit(11))
+    small = F.broadcast(sizes) if labels <= 20_000 else sizes
+    chosen = labelled.join(small, F.col("lang") == F.col("__lang")).where(F.pmod(chance, F.lit(1 << 30)) < share).withColumn("chance", chance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, c) for n, c in ((n, subwords(t)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if c is not None]
-            at = [np.flatnonzero(c) for _, c in found]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([c[k] for (_, c), k in zip(found, at, strict=True)], pa.list_(pa.int32()))], ["lang", "at", "n"])
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            found = [(n, h, c) for n, h, c in ((n, h, subwords(t)) for n, t, h in rows) if c is not None]
+            at = [np.flatnonzero(c) for _, _, c in found]
+            counts = [c[k] for (_, _, c), k in zip(found, at, strict=True)]
+            columns = [pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "chance", "at", "n"])
 
     # a row has BUCKETS entries at most, whatever the text's length
-    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, at array<int>, n array<int>").limit(2 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
+    found = chosen.select("lang", "text", "chance").mapInArrow(run, "lang string, chance long, at array<int>, n array<int>").collect()
+    found.sort(key=lambda r: (r["lang"], r["chance"], r["at"], r["n"]))
+    seen: Counter = Counter()
+    rows = []
+    for r in found:
+        seen[r["lang"]] += 1
+        if seen[r["lang"]] <= each:
+            rows.append(r)
     if not rows:
         return None
     counts = np.zeros((len(rows), BUCKETS), np.int32)
@@ -142,8 +153,9 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """docs without text, with lang_pred, score and rejected."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
-    names = [*others, "lang_pred", "score", "rejected"]
+    made = ["lang_pred", "score", "rejected"]
+    others = [c for c in docs.columns if c != text_col and c not in made]
+    names = [*others, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
