@@ -6,7 +6,7 @@ are never deleted: when a popped position's pair no longer merges at that rank i
 O(n log n) steps, so very long ones are no special case. Pre-tokens already seen by a worker come from a bounded memory.
 
 Edge cases: a null text is the empty text, with no tokens; repeated rows are encoded each for themselves; an empty table gives an empty
-result; other columns don't matter. Text is encoded whole; special tokens' strings are ordinary text.
+result; other columns are carried along, but those named like a new one give way. Text is encoded whole; special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger:
-    """Merges pre-tokens by one rank queue: buckets of positions by rank, found through two levels of 256-bit words (up to 65,536 ranks).
+    """Merges pre-tokens by one rank queue: buckets of positions by rank, found through two levels of words:
+    256 bits below, and above one bit for each of these words.
 
     The queue is empty between pre-tokens, so its words are made once. A bucket of one position is that number, a larger one a heap.
     """
@@ -47,11 +48,12 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.leaf = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # bit r & 255 of word r >> 8: bucket r has positions
+        self.bit = [1 << k for k in range(max(256, len(self.leaf)))]
         self.pairs = [ranks.get(bytes((x >> 8, x & 255))) for x in range(1 << 16)]
 
     def __call__(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: of all adjacent parts that together are a token, the pair of lowest rank merges first, the leftmost among equals."""
-        ranks, leaf, pairs, bit = self.ranks, self.leaf, self.pairs, _BIT
+        ranks, leaf, pairs, bit = self.ranks, self.leaf, self.pairs, self.bit
         get = ranks.get
         whole = get(piece)
         if whole is not None:
@@ -121,7 +123,6 @@ class Merger:
         return out
 
 
-_BIT = [1 << k for k in range(256)]
 #: The pattern's pieces for texts of these characters only, on which its classes are plain sets: the standard library's engine is faster on them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _OTHER_TEXT = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{_LETTERS}]")
@@ -188,8 +189,9 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "t
     """
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern)), uuid.uuid4().hex
-    others = [c for c in docs.columns if c != text_col]
-    names = [*others, "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
+    made = ["n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
+    others = [c for c in docs.columns if c != text_col and c not in made]
+    names = [*others, *made]
     fields = [docs.schema[c] for c in others]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
