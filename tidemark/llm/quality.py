@@ -1,12 +1,15 @@
 """Quality rules with adaptive thresholds: log-bucket quantile sketches per language and source, merged upwards, then joined filtering.
 
 A sketch holds, for each metric, the counts of logarithmic buckets (relative error ``ERROR``); two sketches merge by adding counts, so the
-sketch of a language is the sum over its sources and the global one the sum over languages. A group with fewer than ``min_docs`` documents
-uses the next wider sketch; if even the global one has fewer, no adaptive threshold applies. A threshold is q75 + spread * (q75 - q25) of
-the group's own sketch, plus a documented slack for each metric; below it nothing is rejected.
+sketch of a language is the sum over its sources and the global one the sum over languages. A group's limits are q25 - spread * (q75 - q25)
+and q75 + spread * (q75 - q25) of its own sketch. Where the quartiles coincide, as most documents have none of what is measured, the scale
+comes from the documents beyond: the upper limit is t50 + 2 * spread * (t50 - t25) of their quantiles (twice the lower half of their
+spread, as the upper half may be what is to be rejected), and there is no lower one. A group with fewer than ``min_docs`` documents, or
+fewer than ``min_tail`` beyond coinciding quartiles, uses the next wider sketch; the global one is used whatever it holds. Nothing is
+compared finer than a bucket: a value is rejected if its bucket lies outside those of the limits. No limit is a fixed number.
 
 Edge cases: null text is the empty text; null language or source is a group of its own; repeated rows are judged alike, each for itself;
-an empty table gives an empty result; columns that the operator doesn't read, whatever their names, don't matter.
+an empty table gives an empty result; columns that the operator doesn't read, whatever their names but for a leading "__", don't matter.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table, words
+from .common import release, store, table, words
 
 #: Relative error of the sketches.
 ERROR = 0.02
 #: Bits of a packed trigram entry that hold its position in the document.
 POSITION_BITS = 28
-#: Metric -> slack added to its fence. Ratios are per word (bangs, symbols, repeated words) or per line with a word.
-SLACK = {"symbols": 0.15, "repeats": 0.15, "dup_lines": 0.3, "bangs": 0.15, "word_length": 3.0}
+#: Ratios are per word (bangs, symbols, repeated words) or per line with a word.
+METRICS = ("symbols", "repeats", "dup_lines", "bangs", "word_length")
 #: Most rows of thresholds that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -78,59 +81,83 @@ def _metrics() -> dict[str, Column]:
     return {"symbols": per_word("__symbols"), "repeats": per_word("__repeat"), "dup_lines": F.col("__dup") / F.greatest("__lines", F.lit(1)), "bangs": per_word("__bangs"), "word_length": per_word("__chars")}
 
 
+_GAMMA = (1 + ERROR) / (1 - ERROR)
+
+
+def _bucket(v: Column) -> Column:
+    """0 holds values up to 1e-6, bucket b those up to 1e-6 * gamma ** b."""
+    return F.when(v <= 1e-6, F.lit(0)).otherwise(F.ceil(F.log(v / 1e-6) / math.log(_GAMMA)).cast("int"))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): bucket 0 holds values under 1e-6, bucket b those up to 1e-6 * gamma ** b."""
-    gamma = (1 + ERROR) / (1 - ERROR)
-    bucket = lambda v: F.when(v < 1e-6, F.lit(0)).otherwise(F.ceil(F.log(v / 1e-6) / math.log(gamma)).cast("int"))
-    entries = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in _metrics().items()])
+    """(lang, source, metric, bucket, n)."""
+    entries = F.array(*[F.struct(F.lit(k).alias("metric"), _bucket(v).alias("bucket")) for k, v in _metrics().items()])
     return measured.select("lang", "source", F.explode(entries).alias("x")).groupBy("lang", "source", "x.metric", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """One row of quantiles for each keys + metric, from a sketch merged to these keys: each group is one array of its few buckets."""
-    gamma = (1 + ERROR) / (1 - ERROR)
-    merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    one = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("docs"))
+def _at(buckets: Column, docs: Column, q: float) -> Column:
+    """The bucket of the quantile q of an array of (bucket, n) in order."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bucket"))
 
-    def at(q: float) -> Column:
-        walked = F.aggregate(
-            "b",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bucket")),
-            lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.coalesce(acc["bucket"], F.when(acc["seen"] + x["n"] >= q * F.col("docs"), x["bucket"])).alias("bucket")),
-        )["bucket"]
-        return F.when(walked == 0, F.lit(0.0)).otherwise(1e-6 * F.pow(F.lit(gamma), walked) * 2 / (1 + gamma))
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.coalesce(acc["bucket"], F.when(seen >= q * docs, x["bucket"])).alias("bucket"))
 
-    return one.select(*keys, "metric", "docs", *[at(q).alias(k) for k, q in points.items()])
+    return F.aggregate(buckets, start, step)["bucket"]
 
 
-def thresholds(measured: DataFrame, min_docs: int = 50, spread: float = 3.0) -> DataFrame:
-    """(lang, source, symbols, repeats, dup_lines, bangs, word_length): the most that each metric may be; null: no limit."""
-    own = store(sketches(measured), "sketch")
-    points = {"q25": 0.25, "q75": 0.75}
-    levels = [_quantiles(own, keys, points) for keys in (["lang", "source"], ["lang"], [])]
-    fence = lambda name: F.when(F.col("docs") >= min_docs, F.col("q75") + spread * (F.col("q75") - F.col("q25"))).alias(name)
-    a, b, c = (x.select(*keys, "metric", fence(name)) for x, keys, name in zip(levels, (["lang", "source"], ["lang"], []), ("f0", "f1", "f2"), strict=True))
-    b = b.withColumnRenamed("lang", "lang1").withColumnRenamed("metric", "metric1")
-    c = c.withColumnRenamed("metric", "metric2")
-    joined = a.join(b, a.lang.eqNullSafe(b.lang1) & (a.metric == b.metric1), "left").join(c, F.col("metric") == c.metric2, "left")
-    value = F.coalesce("f0", "f1", "f2")
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, value + s)).alias(k) for k, s in SLACK.items()])
+def _value(bucket: Column) -> Column:
+    return F.when(bucket == 0, F.lit(0.0)).otherwise(1e-6 * F.pow(F.lit(_GAMMA), bucket) * 2 / (1 + _GAMMA))
 
 
-def judge(measured: DataFrame, min_docs: int = 50, spread: float = 3.0) -> DataFrame:
+def _limits(sketch: DataFrame, keys: list[str], min_docs: int, min_tail: int, spread: float) -> DataFrame:
+    """(keys, metric, own, low, high): the buckets of the limits from a sketch merged to keys, whose groups are arrays of their few buckets;
+    own: whether the group has documents enough for them."""
+    merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    one = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("docs"))
+    one = one.withColumn("b1", _at(F.col("b"), F.col("docs"), 0.25)).withColumn("b3", _at(F.col("b"), F.col("docs"), 0.75))
+    one = one.withColumn("tail", F.filter("b", lambda x: x["bucket"] > F.col("b3")))
+    one = one.withColumn("beyond", F.aggregate("tail", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    one = one.withColumn("t1", _at(F.col("tail"), F.col("beyond"), 0.25)).withColumn("t2", _at(F.col("tail"), F.col("beyond"), 0.5))
+    q1, q3, t1, t2 = (_value(F.col(c)) for c in ("b1", "b3", "t1", "t2"))
+    same = F.col("b1") == F.col("b3")
+    high = F.when(~same, q3 + spread * (q3 - q1)).when(F.col("beyond") > 0, t2 + 2 * spread * (t2 - t1))
+    low = F.when(~same & (q1 > spread * (q3 - q1)), q1 - spread * (q3 - q1))
+    own = (F.col("docs") >= min_docs) & (~same | (F.col("beyond") == 0) | (F.col("beyond") >= min_tail))
+    return one.select(*keys, "metric", own.alias("own"), F.coalesce(_bucket(low), F.lit(0)).alias("low"), F.greatest(_bucket(high), F.col("b3")).alias("high"))
+
+
+def thresholds(measured: DataFrame, min_docs: int = 50, spread: float = 4.0, min_tail: int = 20) -> DataFrame:
+    """(lang, source, low_<metric>, high_<metric>): the buckets that each metric's value must lie between, ends included."""
+    sketch = store(sketches(measured), "sketch")
+    limits = [_limits(sketch, keys, min_docs, min_tail, spread) for keys in (["lang", "source"], ["lang"], [])]
+    a, b, c = limits
+    b = b.select(F.col("lang").alias("lang1"), F.col("metric").alias("metric1"), *[F.col(x).alias(f"{x}1") for x in ("own", "low", "high")])
+    c = c.select(F.col("metric").alias("metric2"), *[F.col(x).alias(f"{x}2") for x in ("low", "high")])
+    on = F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1"))
+    joined = a.join(b, on, "left").join(c, F.col("metric") == F.col("metric2"), "left")
+    pick = lambda x: F.when(F.col("own"), F.col(x)).when(F.col("own1"), F.col(f"{x}1")).otherwise(F.col(f"{x}2"))
+    each = [F.max(F.when(F.col("metric") == k, pick(x))).alias(f"{x}_{k}") for k in METRICS for x in ("low", "high")]
+    out = store(joined.groupBy("lang", "source").agg(*each), "thresholds")
+    release(sketch)
+    return out
+
+
+def judge(measured: DataFrame, min_docs: int = 50, spread: float = 4.0) -> DataFrame:
     """measured with __base_failed and __kept. measured must be cheap to read again (a written table)."""
-    limits = store(thresholds(measured, min_docs, spread), "thresholds")
+    limits = thresholds(measured, min_docs, spread)
     small = limits.count() <= BROADCAST_ROWS
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(k).alias(f"__max_{k}") for k in SLACK])
+    names = [f"{x}_{k}" for k in METRICS for x in ("low", "high")]
+    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(k).alias(f"__{k}") for k in names])
     on = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     joined = measured.join(F.broadcast(limits) if small else limits, on, "left")
-    beyond = F.lit(False)
+    inside = F.lit(True)
     for k, v in _metrics().items():
-        beyond = beyond | F.coalesce(v > F.col(f"__max_{k}"), F.lit(False))
-    return joined.withColumn("__base_failed", base_failed()).withColumn("__kept", ~base_failed() & ~beyond)
+        inside = inside & (_bucket(v) >= F.col(f"__low_{k}")) & (_bucket(v) <= F.col(f"__high_{k}"))
+    return joined.withColumn("__base_failed", base_failed()).withColumn("__kept", ~base_failed() & inside)
 
 
-def filter_documents(docs: DataFrame, min_docs: int = 50, spread: float = 3.0) -> DataFrame:
+def filter_documents(docs: DataFrame, min_docs: int = 50, spread: float = 4.0) -> DataFrame:
     """The rows of docs that pass the base rules and the adaptive thresholds, with the columns of docs."""
     judged = judge(store(measure(docs), "measured"), min_docs, spread)
     return judged.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -139,6 +166,6 @@ def filter_documents(docs: DataFrame, min_docs: int = 50, spread: float = 3.0) -
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = store(measure(docs).drop("text"), "measured")
-    return judge(measured).select(
-        "doc_id", F.col("__w").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup").alias("n_dup_lines"), F.col("__repeat").alias("n_repeat_words"), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept")
-    )
+    names = {"__w": "n_words", "__chars": "word_chars", "__symbols": "n_symbols", "__dup": "n_dup_lines", "__repeat": "n_repeat_words"}
+    names |= {"__base_failed": "base_failed", "__kept": "kept"}
+    return judge(measured).select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
