@@ -1,17 +1,20 @@
-"""Links between sets of hashes by Jaccard similarity, exactly: a prefix-filter join (Chaudhuri et al., 2006; Xiao et al., 2008).
+"""Links between texts by the Jaccard similarity of their shingles, exactly: a prefix-filter join (Chaudhuri et al., 2006; Wang et al., 2012).
 
-All sets are put in one order, hashes that are frequent in a sample of the sets last. Two sets of n and m hashes that reach similarity t share
-t / (1 + t) * (n + m) of them, so their first shared hash lies among the first n - ceil(t n) + 1 of each and leaves that many in both: sets
-meet in runs of equal hashes of these prefixes, the pairs that pass that bound are compared in full. The order only sets the cost: any one is right.
+A text is the set of its shingles' 64-bit hashes. All sets are put in one order, hashes that are frequent in a sample of the sets last. Two
+sets of n and m hashes that reach similarity t share o = t / (1 + t) * (n + m) of them or more, so they share min(o, SHARED) of the first
+n - ceil(t n) + SHARED of each: texts that meet that often, in runs of equal hashes of these prefixes, are candidates. The order only sets
+the cost: any one is right. Texts are shuffled for candidates alone, and hashes never leave a task.
 
-Before that, bitmaps (Sandes et al., 2019) rule pairs out: a bit is the parity of the hashes that fall on it, so two bitmaps differ in at most
-as many bits as the sets do in hashes, and sets of similarity t differ in at most (1 - t) / (1 + t) * (n + m).
+Links are wanted for the groups that they make, so a candidate is checked only while its texts are in different groups. In each of
+``ROUNDS`` each group has the candidate checked that shares most with another one; then all that are open yet are checked.
 
-Runs of up to ``BIG`` rows give all their pairs. In a longer run, each row gives the pair with the likest row of another component, the links
-among those make larger components, and so on for ``ROUNDS``; then the run gives all pairs that are in different components yet. Pairs within a
-component are not needed to join it. Runs over ``RUN`` rows are cut into blocks, and each pair of blocks is a run of its own.
+A run of more than ``BIG`` rows would give too many candidates. Its rows are first compared with three of them; then, in rounds again, each
+row that is outside the run's largest group with the likest row of another group; at last all pairs of different groups. Bitmaps rule pairs
+out before (Sandes et al., 2019): a bit is the parity of the hashes that fall on it, so two bitmaps differ in at most as many bits as the
+sets do in hashes, and sets of similarity t differ in at most (1 - t) / (1 + t) * (n + m). Runs over ``RUN`` rows are cut into blocks, and
+each pair of blocks is a run of its own.
 
-Edge cases: an empty set links with nothing; a set is no link of itself.
+Edge cases: a text without words links with nothing; a text is no link of itself; an empty table has no links.
 """
 
 from __future__ import annotations
@@ -24,77 +27,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import release, store
 from .components import components
+from .rolling import Rolling
 
-#: Rows of a run that gives all pairs at once, and of one that a task compares at most.
+#: Rows of a run that gives all its pairs at once, and of one that a task compares at most; rounds before all pairs are checked.
 BIG, RUN, ROUNDS = 32, 8192, 3
+#: Hashes that two texts must share in their prefixes.
+SHARED = 4
 #: Bits of a bitmap.
 BITS = 1024
-#: Sets whose hashes are counted for the order, and most hashes that are put last.
-SAMPLE, COMMON = 2000, 65_536
+#: Share of the texts whose hashes are counted for the order, and most hashes that are put last.
+SAMPLE, COMMON = 0.05, 65_536
 #: Bounds are lowered by this much, so that rounding never loses a pair.
 SLACK = 1e-6
+#: Texts in a task's hands at once.
+STEP = 512
 
 
-def _common(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes that several sets of a sample have, sorted; about how many of all sets have each)."""
-    share = min(1.0, SAMPLE / max(n, 1))
-    some = sets.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = some.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids, sorted distinct hashes of each text) for slices of batches (id, text)."""
+    rolling = Rolling()
+    for batch in batches:
+        for k in range(0, batch.num_rows, STEP):
+            ids, texts = (batch.column(c).slice(k, STEP) for c in (0, 1))
+            found = [np.unique(rolling.shingles(x.as_buffer().to_pybytes(), shingle)) if x.is_valid else np.zeros(0, np.uint64) for x in texts]
+            yield ids.to_numpy(zero_copy_only=False), [g.view(np.int64) for g in found]
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes that several texts of a sample have, sorted; about how many of all texts have each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, shingle):
+            g, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(SAMPLE * (1 << 30)))
+    counts = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     rows = sorted((r["g"], r["n"]) for r in counts.orderBy(F.desc("n"), "g").limit(COMMON).collect())
-    return np.array([g for g, _ in rows], np.int64), np.array([k for _, k in rows], np.int64) / share
+    return np.array([g for g, _ in rows], np.int64), np.array([k for _, k in rows], np.int64) / SAMPLE
 
 
-def _prefixes(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, salt, id, n, pos): the hashes of each set's prefix. Hashes of too many sets for one run have a salt, the others -1."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
+def _prefixes(texts: DataFrame, similarity: float, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, salt, id, place): the hashes of each set's prefix; place is the set's size << 32 | position.
+
+    Hashes of too many sets for one run have a salt, the others -1.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for batch in batches:
-            own, at, sizes = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), []
-            flat = batch.column(1).values.to_numpy(zero_copy_only=False)
-            grams, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(len(own)):
-                g = flat[at[k] : at[k + 1]]
+        for own, sets in _sets(batches, shingle):
+            cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int64)]
+            for i, g in zip(own, sets, strict=True):
+                if not len(g):
+                    continue
                 count = np.zeros(len(g))
                 if len(known):
-                    place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    count = np.where(known[place] == g, often[place], 0.0)
-                p = len(g) - math.ceil(similarity * len(g) - SLACK) + 1 if len(g) else 0
+                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    count = np.where(known[at] == g, often[at], 0.0)
+                p = len(g) - math.ceil(similarity * len(g) - SLACK) + SHARED
                 first = np.lexsort((g, count))[:p]
-                sizes.append(len(first))
-                grams.append(g[first])
                 parts = np.ceil(count[first] / RUN).astype(np.int64)
-                salts.append(np.where(parts > 1, (int(own[k]) * 0x9E3779B1 >> 7) % np.maximum(parts, 1), -1))
-            size = np.array(sizes, np.int64)
-            pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(s) for s in sizes)])
-            cols = [np.concatenate(grams), np.concatenate(salts).astype(np.int32), np.repeat(own, size), np.repeat(np.diff(at), size).astype(np.int32), pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "salt", "id", "n", "pos"])
-
-    return sets.select("id", "grams").mapInArrow(run, "gram long, salt int, id long, n int, pos int")
-
-
-def _possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, t: float) -> np.ndarray:
-    """Where sets of n1 and n2 hashes whose first shared ones are at p1 and p2 can reach t."""
-    return np.minimum(n1 - p1, n2 - p2) >= t / (1 + t) * (n1.astype(np.int64) + n2) - SLACK
+                salt = np.where(parts > 1, (int(i) * 0x9E3779B1 >> 7) % np.maximum(parts, 1), -1)
+                new = g[first], salt.astype(np.int32), np.full(len(first), i), (len(g) << 32) + np.arange(len(first))
+                for c, x in zip(cols, new, strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "salt", "id", "place"])
 
+    return texts.mapInArrow(run, "gram long, salt int, id long, place long")
 
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    """(id, n, bits): the number of each set's hashes and its bitmap."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
-            bits = [np.packbits(np.bincount(flat[a:b] & (BITS - 1), minlength=BITS) & 1).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+def _least(n1: np.ndarray, n2: np.ndarray, t: float) -> np.ndarray:
+    """Hashes that sets of n1 and n2 of them share at least if they reach t."""
+    return np.ceil(t / (1 + t) * (n1.astype(np.int64) + n2) - SLACK)
 
-    return sets.select("id", "grams").mapInArrow(run, "id long, n int, bits binary")
 
-
-def _matrix(bits: list[bytes] | np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+def _possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, t: float) -> np.ndarray:
+    """Where sets of n1 and n2 hashes that share those at p1 and p2, one of the first SHARED that they share, can reach t."""
+    return np.minimum(n1 - p1, n2 - p2) >= _least(n1, n2, t) - SHARED + 1
 
 
 def _most(n1: np.ndarray, n2: np.ndarray, t: float) -> np.ndarray:
@@ -102,18 +114,20 @@ def _most(n1: np.ndarray, n2: np.ndarray, t: float) -> np.ndarray:
     return (1 - t) / (1 + t) * (n1.astype(np.int64) + n2) + SLACK
 
 
-def _unlike_dropped(edges: DataFrame, bitmaps: DataFrame, t: float) -> DataFrame:
-    """edges (a, b) without those that the bitmaps rule out."""
+def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, bits): the number of each text's hashes and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (_matrix(batch.column(k).to_pylist()) for k in (3, 5))
-                good = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= _most(batch.column(2).to_numpy(), batch.column(4).to_numpy(), t)
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+        for own, sets in _sets(batches, shingle):
+            bits = [np.packbits(np.bincount(g & (BITS - 1), minlength=BITS) & 1).tobytes() for g in sets]
+            n = np.array([len(g) for g in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(bits, pa.binary())], ["id", "n", "bits"])
 
-    one, other = (bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in ("a", "b"))
-    return edges.join(one, "a").join(other, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
+    return texts.mapInArrow(run, "id long, n int, bits binary")
+
+
+def _matrix(bits: list[bytes] | np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
 
 
 def _runs(keys: int, f: Callable[[list[np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
@@ -144,10 +158,11 @@ def _runs(keys: int, f: Callable[[list[np.ndarray], np.ndarray, np.ndarray], Ite
 
 
 def _met(prefixes: DataFrame, t: float) -> DataFrame:
-    """(gram, a, b, n, pos): pairs to compare with a null gram, and the rows (a) of long runs."""
+    """(gram, a, b, place): with a null gram, pairs that met (place: how often << 32 | how often they must); else rows (a) of long runs."""
 
     def meet(cols: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gram, salt, own, n, pos = cols
+        gram, salt, own, place = cols
+        n, pos = place >> 32, place & 0xFFFFFFFF
         for size in np.unique(length[length > 1]).tolist():
             at = start[(length == size) & (salt[start] < 0)] if size <= BIG else np.zeros(0, np.int64)
             i, j = np.triu_indices(size, 1) if len(at) else (np.zeros(0, np.int64),) * 2
@@ -156,27 +171,121 @@ def _met(prefixes: DataFrame, t: float) -> DataFrame:
                 x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
                 good = _possible(n[x], pos[x], n[y], pos[y], t) & (own[x] != own[y])
                 x, y = x[good], y[good]
-                a, b = np.unique(np.stack((np.minimum(own[x], own[y]), np.maximum(own[x], own[y]))), axis=1)
-                yield batch(None, a, b, None, None)
+                if not len(x):
+                    continue
+                must = np.minimum(_least(n[x], n[y], t), SHARED).astype(np.int64)
+                ends = np.stack((np.minimum(own[x], own[y]), np.maximum(own[x], own[y]), must))
+                (a, b, must), times = np.unique(ends, axis=1, return_counts=True)
+                yield batch(None, a, b, times << 32 | must)
         for k, size in zip(start, length, strict=True):
             if size > BIG or salt[k] >= 0:
                 rows = slice(k, k + size)
-                yield batch(gram[rows], own[rows], None, n[rows], pos[rows])
+                yield batch(gram[rows], own[rows], None, place[rows])
 
     def batch(*cols: np.ndarray | None) -> pa.RecordBatch:
         size = max(len(c) for c in cols if c is not None)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["gram", "a", "b", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols], ["gram", "a", "b", "place"])
 
     ordered = prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    return ordered.mapInArrow(_runs(2, meet), "gram long, a long, b long, n int, pos int")
+    return ordered.mapInArrow(_runs(2, meet), "gram long, a long, b long, place long")
+
+
+def similar_pairs(texts: DataFrame, edges: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The rows of edges (a, b) whose texts (id, text; a written table, an id once) have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        last, sets = b"", np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                text = x.as_buffer().to_pybytes()
+                if text != last:  # a text with many pairs comes with all of them
+                    last, sets = text, np.unique(rolling.shingles(text, shingle))
+                other = np.unique(rolling.shingles(y.as_buffer().to_pybytes(), shingle))
+                union = len(np.union1d(sets, other))
+                good.append(union > 0 and len(sets) + len(other) - union >= similarity * union)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return edges.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+class Groups:
+    """Groups of texts by the links that were found so far."""
+
+    def __init__(self, texts: DataFrame, similarity: float, shingle: int) -> None:
+        self.texts, self.similarity, self.shingle = texts, similarity, shingle
+        self.roots = store(texts.sparkSession.createDataFrame([], "node long, root long"), "roots")
+
+    def check(self, edges: DataFrame) -> bool:
+        """Check edges (a, b) and unite the groups of those that are links; whether any are."""
+        links = store(similar_pairs(self.texts, edges, self.similarity, self.shingle), "links")
+        found = not links.isEmpty()
+        if found:
+            old = self.roots
+            self.roots = components(old.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+            release(old)
+        release(links)
+        return found
+
+    def of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """rows with the root of the text in column."""
+        here = self.roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        return rows.join(here, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", column)).drop("__node", "__root")
+
+    def open(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) between different groups, with ra and rb."""
+        return self.of(self.of(pairs, "a", "ra"), "b", "rb").where("ra != rb")
+
+
+def _by_pairs(groups: Groups, pairs: DataFrame) -> None:
+    """Check pairs (a, b, times; a written table, released here) until none is between different groups."""
+    for k in range(ROUNDS + 1):
+        left = store(groups.open(pairs), "open")
+        release(pairs)
+        if left.isEmpty():
+            release(left)
+            return
+        if k == ROUNDS:
+            groups.check(left)
+            release(left)
+            return
+        best = left.groupBy(F.greatest("ra", "rb").alias("r")).agg(F.max(F.struct("times", -F.least("ra", "rb"), "a", "b")).alias("x"))
+        chosen = store(best.select("x.a", "x.b"), "chosen")
+        groups.check(chosen)
+        rest = left.select("a", "b", "times").join(chosen.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti")
+        pairs = store(rest, "pairs")
+        release(left, chosen)
+
+
+def _leaders(rows: DataFrame, bitmaps: DataFrame, t: float) -> DataFrame:
+    """(a, b): each row of a run with the likest of three of the run's rows."""
+    three = [F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))]
+    heads = rows.groupBy("gram").agg(F.array_distinct(F.array(*three)).alias("heads"))
+    pairs = rows.join(heads, "gram").select("id", F.explode("heads").alias("b")).where("id != b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_matrix(batch.column(k).to_pylist()) for k in (3, 5))
+                gap = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) / _most(batch.column(2).to_numpy(), batch.column(4).to_numpy(), t)
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gap)], ["a", "b", "gap"])
+                yield out.filter(pa.array(gap <= 1))
+
+    one = bitmaps.select("id", F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    other = bitmaps.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    known = pairs.join(one, "id").join(other, "b").select("id", "b", "n1", "bits1", "n2", "bits2").mapInArrow(run, "a long, b long, gap double")
+    return known.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", "x.b")
 
 
 def _apart(rows: DataFrame, t: float, likest: bool) -> DataFrame:
     """(a, b): pairs of rows (gram, id, n, pos, bits, root) that have a gram in common, can reach t and are of different roots: all of
-    them, or of each row in a run the one whose bitmaps are likest."""
+    them, or of each row outside its run's largest group the one whose bitmaps are likest."""
     crowds = rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    crowds = store(crowds.select("gram", F.when(F.col("rows") > RUN, F.ceil(F.col("rows") / RUN * 2)).otherwise(1).cast("int").alias("blocks")), "crowds")
+    blocks = F.when(F.col("rows") > RUN, F.ceil(F.col("rows") / RUN * 2)).otherwise(1).cast("int")
+    crowds = store(crowds.select("gram", blocks.alias("blocks")), "crowds")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
     dealt = rows.join(crowds, "gram").withColumn("p", F.explode(pairs)).select("gram", "p.x", "p.y", "id", "n", "pos", "bits", "root")
@@ -185,15 +294,18 @@ def _apart(rows: DataFrame, t: float, likest: bool) -> DataFrame:
         _, _, _, own, n, pos, bits, root = cols
         for k, size in zip(start, length, strict=True):
             m, p, r, o = n[k : k + size], pos[k : k + size], root[k : k + size], own[k : k + size]
-            if (r == r[0]).all():
+            names, count = np.unique(r, return_counts=True)
+            if len(names) == 1:
                 continue
             maps = _matrix(bits[k : k + size])
+            minor = np.flatnonzero(r != names[count.argmax()])  # a pair of different groups has an end among these
             step = max(1, 1_000_000 // size)
-            for i in range(0, size, step):
-                rows_ = slice(i, i + step)
-                x, y = np.nonzero(_possible(m[rows_, None], p[rows_, None], m, p, t) & (r[rows_, None] != r) & (likest | (o[rows_, None] < o)))
-                x += i
-                gap = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(maps[x[h : h + 100_000]] ^ maps[y[h : h + 100_000]]).sum(1, dtype=np.int64) for h in range(0, len(x), 100_000))])
+            for i in range(0, len(minor), step):
+                at = minor[i : i + step]
+                x, y = np.nonzero(_possible(m[at, None], p[at, None], m, p, t) & (r[at, None] != r))
+                x = at[x]
+                pieces = [np.bitwise_count(maps[x[h : h + 100_000]] ^ maps[y[h : h + 100_000]]).sum(1, dtype=np.int64) for h in range(0, len(x), 100_000)]
+                gap = np.concatenate([np.zeros(0, np.int64), *pieces])
                 most = _most(m[x], m[y], t)
                 good = gap <= most
                 x, y, close = x[good], y[good], (gap / most)[good]
@@ -204,41 +316,55 @@ def _apart(rows: DataFrame, t: float, likest: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(o[x], o[y])), pa.array(np.maximum(o[x], o[y]))], ["a", "b"])
 
     key = ["gram", "x", "y"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_runs(3, compare), "a long, b long").distinct()
-
-
-def similar_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The rows of edges (a, b: ids of sets) that have at least this Jaccard similarity."""
-    # written ids are known to be few where they are, and then the other sets are not shuffled
-    ids = store(edges.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ids")
-    picked = store(sets.join(ids, F.col("id") == F.col("__id"), "left_semi"), "picked")
-    first = picked.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    second = picked.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - F.col("shared")
-    joined = edges.join(first, "a").join(second, "b").withColumn("shared", shared)
-    return joined.where((union > 0) & (F.col("shared") >= similarity * union)).select("a", "b")
-
-
-def linked(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) as of components, over all links of sets (id, grams: distinct sorted longs; a written table, an id once)."""
-    bitmaps = store(_bitmaps(sets), "bitmaps")
-    met = store(_met(_prefixes(sets, similarity, _common(sets, sets.count())), similarity), "met")
-    edges = _unlike_dropped(met.where("gram is null").select("a", "b").distinct(), bitmaps, similarity)
-    links = store(similar_pairs(sets, store(edges, "candidates"), similarity), "links")
-    roots = store(components(links), "roots")
-    crowd = met.where("gram is not null").select("gram", F.col("a").alias("id"), "pos")
-    if crowd.isEmpty():
-        return roots
-    crowd = store(crowd.join(bitmaps, "id"), "crowd")
+    out = store(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_runs(3, compare), "a long, b long").distinct(), "candidates")
+    release(crowds)
+    return out
+
+
+def _by_crowds(groups: Groups, crowd: DataFrame, bitmaps: DataFrame) -> None:
+    """Check the rows of long runs (gram, id, place; a written table) until no two that can be links are in different groups."""
+    t = groups.similarity
+    heads = store(_leaders(crowd, bitmaps, t), "leaders")
+    first = store(groups.open(heads).select("a", "b"), "open")
+    groups.check(first)
+    release(heads, first)
+    split = groups.of(crowd, "id", "root").select("gram", "id", (F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("pos"), "root")
     k = 0
     while k <= ROUNDS:
-        rows = store(crowd.join(roots, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", "bits", F.coalesce("root", "id").alias("root")), "rooted")
-        edges = store(_apart(rows, similarity, k < ROUNDS), "candidates")
-        more = store(similar_pairs(sets, edges, similarity), "links")
-        found = not more.isEmpty()
-        if found:
-            links = links.unionByName(more)
-            roots = store(components(links), "roots")
+        open_ = store(split.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram"), "open-runs")
+        if open_.isEmpty():
+            release(open_)
+            return
+        rows = store(split.join(open_, "gram").join(bitmaps, "id").select("gram", "id", "n", "pos", "bits", "root"), "crowd")
+        edges = _apart(rows, t, k < ROUNDS)
+        found = groups.check(edges)
+        release(open_, rows, edges)
+        split = groups.of(crowd, "id", "root").select("gram", "id", (F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("pos"), "root")
         k = k + 1 if found or k == ROUNDS else ROUNDS  # the last round takes all pairs
-    return roots
+
+
+def linked(texts: DataFrame, similarity: float, shingle: int, likely: DataFrame) -> DataFrame:
+    """(node, root) as of components, over all links of texts (id, text as binary; an id once).
+
+    likely: pairs (a, b; a written table) that are checked first, as they make large groups cheaply.
+    """
+    met = store(_met(_prefixes(texts, similarity, shingle, _common(texts, shingle)), similarity), "met")
+    times, must = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
+    counted = met.where("gram is null").groupBy("a", "b").agg(F.sum(times).alias("times"), F.max(must).alias("must"))
+    pairs = store(counted.where("times >= must").select("a", "b", "times"), "pairs")
+    crowd = store(met.where("gram is not null").select("gram", F.col("a").alias("id"), "place"), "crowd-rows")
+    release(met)
+    ids = likely.unionByName(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias("__id")).unionByName(crowd.select(F.col("id").alias("__id")))
+    ids = store(ids.distinct(), "ids")  # written ids are known to be few where they are, and then the other texts are not shuffled
+    picked = store(texts.join(ids, F.col("id") == F.col("__id"), "left_semi"), "picked")
+    groups = Groups(picked, similarity, shingle)
+    if not likely.isEmpty():
+        groups.check(likely)
+    _by_pairs(groups, pairs)
+    if not crowd.isEmpty():
+        some = store(crowd.select(F.col("id").alias("__id")).distinct(), "ids")
+        bitmaps = store(_bitmaps(picked.join(some, F.col("id") == F.col("__id"), "left_semi"), shingle), "bitmaps")
+        _by_crowds(groups, crowd, bitmaps)
+        release(some, bitmaps)
+    release(crowd, ids, picked)
+    return groups.roots

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import SPACE, release, store, table
 from .components import components
+from .rolling import Rolling
 from .setjoin import linked
 
 BITS, GROUP = 64, 8
@@ -49,6 +50,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     ends = np.concatenate((gaps, [len(line)])).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -281,59 +287,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def _hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct 64-bit hashes of the shingles, sorted; none of a text without words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
-
-
-def _digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): digest is that of the lower-cased words."""
+def _marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest of the lower-cased words, fp of their distinct shingles): fp is for finding candidates only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
             digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["doc_id", "digest"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary")
+            prints = np.array([majority(np.unique(rolling.shingles(t, shingle))) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints.view(np.int64))], ["doc_id", "digest", "fp"])
 
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long")
 
-def _grams(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, grams): the distinct 64-bit hashes of each text's shingles, sorted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                ids, texts = (batch.column(c).slice(k, 64) for c in (0, 1))
-                grams = [np.sort(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle).view(np.int64)) for x in texts]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, grams array<long>")
+def _likely(texts: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): texts (digest, fp, least; a written table) whose fingerprints are within max_bits, as few pairs as join them all."""
+    own = store(texts.groupBy("fp").agg(F.min("least").alias("name")), "fingerprints")
+    near = near_pairs(own.select("fp", "name"), max_bits, "name")
+    same = texts.join(own, "fp").where("least != name").select(F.col("name").alias("a"), F.col("least").alias("b"))
+    out = store(near.unionByName(same), "likely")
+    release(own)
+    return out
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id, and of rows that repeat it, one.
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3) -> DataFrame:
+    """docs with one document of each group: that with the smallest doc_id, and all rows that repeat it with the same words once.
 
-    Texts of equal words are one. Every pair of the others whose sets of shingle words have at least similarity is a link, and links make
-    the groups. Documents without words are one text; a row without doc_id is neither compared nor dropped. Only ids that go are joined
-    with the texts.
+    Texts of equal words are one. Pairs whose SimHash fingerprints are within max_bits are checked first; fingerprints this close can't show
+    most links at 0.8, so every other pair that can reach similarity is found by the prefix-filter join and checked as well. Links make the
+    groups. Documents without words are one text; a row without doc_id is neither compared nor dropped; rows that repeat a doc_id with
+    other words stay or go together, by the longest of their texts. Only ids that go are joined with the texts.
     """
     own = docs.where("doc_id is not null")
-    prints = store(_digests(own), "prints")
-    texts = store(prints.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
-    repeated = not prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    marks = store(_marks(own, shingle), "marks")
+    repeated = not marks.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    if repeated:
+        return _with_repeats(docs, similarity, shingle, max_bits)
+    texts = store(marks.groupBy("digest", "fp").agg(F.min("doc_id").alias("least")), "texts")
     # few ids go, so that joins with them rarely have to shuffle texts
-    copies = store(prints.select(F.col("doc_id").alias("__id")).join(texts, F.col("__id") == F.col("least"), "left_anti").distinct(), "copies")
-    sets = _grams(own.join(copies, F.col("doc_id") == F.col("__id"), "left_anti"), shingle)
-    sets = store(sets.groupBy("id").agg(F.max("grams").alias("grams")) if repeated else sets, "grams")
-    roots = linked(sets, similarity)
+    copies = store(marks.select(F.col("doc_id").alias("__id")).join(texts, F.col("__id") == F.col("least"), "left_anti").distinct(), "copies")
+    sets = own.join(copies, F.col("doc_id") == F.col("__id"), "left_anti").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    likely = _likely(texts, max_bits)
+    release(marks)
+    roots = linked(sets, similarity, shingle, likely)
     # roots holds the texts that give way to one of a smaller doc_id
     gone = store(copies.unionByName(roots.select(F.col("node").alias("__id"))), "gone")
-    kept = own.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
+    release(texts, copies, likely, roots)
+    return own.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(docs.where("doc_id is null"))
+
+
+def _with_repeats(docs: DataFrame, similarity: float, shingle: int, max_bits: int) -> DataFrame:
+    """For tables that repeat a doc_id: one row stands for all that repeat it, and rows of a doc_id that stays are compared by words."""
+    own = docs.where("doc_id is not null")
+    words = F.concat_ws(" ", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), ""))
+    one = own.groupBy("doc_id").agg(F.max(F.struct(F.length(F.coalesce("text", F.lit(""))), F.col("text"))).alias("x")).select("doc_id", "x.text")
+    stay = store(drop_near_duplicates(store(one, "one-each"), similarity, shingle, max_bits).select(F.col("doc_id").alias("__id")), "stay")
+    kept = own.join(stay, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__words", F.sha2(words, 256))
+    return kept.dropDuplicates(["doc_id", "__words"]).drop("__words").unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
