@@ -1,4 +1,4 @@
-"""Connected components of a graph given by its edges, by alternating star contractions (Kiveris et al., 2014)."""
+"""Connected components of a graph given by its edges, by forests of tasks and alternating star contractions (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
@@ -43,6 +43,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
+#: Edges, one for each node at most, that one task joins; more are joined by star contractions.
+SMALL = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
@@ -50,13 +54,18 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node with an edge that joins it to another node; root is the smallest node it reaches, for which no row comes.
 
-    edges: two long columns; loops, repeats, either direction and nulls (ignored) are allowed. Each round is two joins on written
+    edges: two long columns; loops, repeats, either direction and nulls (ignored) are allowed. Each task reduces its edges to a forest; if
+    these are few, one task joins them, and else rounds of star contractions do: each is two joins on written
     tables whose exchanges Spark can split where a node has very many edges; the number of edges never grows.
     """
     a, b = edges.columns
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = store(pairs.mapInArrow(_forest, "u long, v long"), "edges")
     mark = _mark(e)
+    if 0 < mark[0] <= SMALL:
+        whole = store(e.coalesce(1).mapInArrow(_forest, "u long, v long"), "edges")
+        release(e)
+        e, mark = whole, (0,)
     for _ in range(rounds):
         if not mark[0]:
             break

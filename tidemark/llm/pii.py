@@ -128,12 +128,16 @@ def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
 
 
 def _spans(shape: str) -> Column:
-    """array<struct<kind, start, end, base, ok, shape, votes, features>> from the columns __m_<shape> (matches) and __p_<shape> (pieces)."""
+    """array<struct<kind, start, end, base, ok, shape, votes, features>> from __m_<shape> (matches), __p_<shape> (pieces) and __ends (running
+    sums of the lengths of all shapes' matches and pieces, one shape after the other)."""
     kind, _, _, base = SHAPES[shape]
     m, p = F.col(f"__m_{shape}"), F.col(f"__p_{shape}")
-    lengths = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda x, y: F.length(x) + F.length(y))
+    before = [F.size(f"__m_{x}") for x in SHAPES][: list(SHAPES).index(shape)]
+    first = sum(before, F.lit(0))  # of this shape's ends among those of all
+    at = F.coalesce(F.get("__ends", first - 1), F.lit(0))
 
-    def full(end: Column, i: Column) -> Column:
+    def full(reached: Column, i: Column) -> Column:
+        end = (reached - at).cast("int")
         s, before, after = F.get(m, i), F.right(F.get(p, i), F.lit(32)), F.left(F.get(p, i + 1), F.lit(2))
         ok = _valid(kind if base else "", s)
         return F.struct(
@@ -142,7 +146,13 @@ def _spans(shape: str) -> Column:
         )
 
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,ok:boolean,shape:string,votes:string,features:array<string>>>")
-    return F.when(F.size(m) > 0, F.transform(_scan(lengths, lambda x, y: x + y), full)).otherwise(empty)
+    return F.when(F.size(m) > 0, F.transform(F.slice("__ends", first + 1, F.size(m)), full)).otherwise(empty)
+
+
+def _lengths(shape: str) -> Column:
+    """Of each match, its length and that of the piece before it."""
+    m, p = F.col(f"__m_{shape}"), F.col(f"__p_{shape}")
+    return F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda x, y: (F.length(x) + F.length(y)).cast("long"))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,6 +165,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         d = d.withColumn(f"__m_{shape}", F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     for shape, (_, pattern, _, _) in SHAPES.items():
         d = d.withColumn(f"__p_{shape}", F.when(F.size(f"__m_{shape}") > 0, F.split(text, pattern)).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("__ends", _scan(F.concat(*[_lengths(x) for x in SHAPES]), lambda x, y: x + y))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat(*[_spans(x) for x in SHAPES]).alias("__spans"))
 
 
