@@ -88,3 +88,75 @@ def test_range_reaches_the_scan(spark, lab):
     plan = df._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
     assert parse_view(spark, WEEK).merge_keys == ("symbol", "week")
+
+
+@pytest.mark.parametrize("bucket", ["date_trunc('hour', ts)", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)"])
+def test_groups_that_stop_qualifying_go(spark, lab, bucket):
+    sql = f"SELECT symbol, {bucket} AS hour, count(*) AS n FROM m.trades GROUP BY symbol, {bucket} HAVING count(*) < 4"
+    lab.source.append(trades(spark, ("A", "2026-04-06T05:10", 1, 1), ("A", "2026-04-06T05:20", 1, 1), ("B", "2026-04-06T07:00", 1, 1)))
+    target, _ = lab.refresh(sql)
+    assert sorted((r["symbol"], r["n"]) for r in target.read().collect()) == [("A", 2), ("B", 1)]
+    lab.source.append(trades(spark, *[("A", f"2026-04-06T05:{m}", 1, 1) for m in (30, 40, 50, 55)]))
+    target, action = lab.refresh(sql)
+    assert action is Action.INCREMENTAL and [(r["symbol"], r["n"]) for r in target.read().collect()] == [("B", 1)]
+    assert lab.refresh(sql)[1] is Action.NO_CHANGE
+
+
+def test_having_without_a_bucket_is_refused(spark):
+    from tidemark.errors import ViewError
+
+    with pytest.raises(ViewError, match="HAVING"):
+        parse_view(spark, "SELECT CAST(date_trunc('hour', ts) AS STRING) AS h, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 1")
+
+
+@pytest.mark.parametrize("bucket", ["date_trunc('hour', ts)", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)"])
+def test_an_increment_rewrites_only_files_that_meet_its_range(spark, lab, bucket):
+    sql = f"SELECT symbol, {bucket} AS hour, count(*) AS n FROM m.trades GROUP BY 1, 2"
+    days = [(f"S{k}", f"2026-0{m}-{d:02d}T{h:02d}:00", 1, 1) for m in (1, 2, 3) for d in range(1, 29, 3) for h in (1, 13) for k in range(9)]
+    lab.source.append(trades(spark, *days))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        target, _ = lab.refresh(sql)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    before = {f.path: f for f in target.live()}
+    assert len(before) > 2
+    lab.source.append(trades(spark, ("S1", "2026-02-13T13:30", 1, 1)))
+    target, _ = lab.refresh(sql)
+    gone = [before[p] for p in target.log()[-1].removed]
+    low, high = datetime(2026, 2, 13, 13), datetime(2026, 2, 13, 14)
+    assert gone and len(gone) < len(before)
+    assert all(f.range("hour")[0].replace(tzinfo=None) < high and f.range("hour")[1].replace(tzinfo=None) >= low for f in gone)
+    assert sum(r["n"] for r in target.read().collect()) == len(days) + 1
+
+
+def test_footers_give_what_a_scan_gives(spark, lab):
+    lab.source.append(trades(spark, ("A", "2026-04-06T01:02:03.000004", 1, 1), ("B", "1969-12-31T23:59:59.5", 1, 1)))
+    paths = [f.path for f in lab.source.live()]
+    key = lambda e: e.path.rsplit("/", 1)[1]
+    a, b = (sorted(x, key=key) for x in (lab.source.live(), lab.source._scanned(paths)))
+    assert [(key(x), x.rows, x.size, x.bounds) for x in a] == [(key(x), x.rows, x.size, x.bounds) for x in b]
+
+
+def test_a_crash_inside_expiry_loses_nothing(spark, lab, monkeypatch):
+    for day in ("06", "07", "08"):
+        lab.source.append(trades(spark, ("A", f"2026-04-{day}", 1, 1)))
+    real = lab.source.files_.delete
+    calls = []
+
+    def crash(path):
+        calls.append(path)
+        if "_log" in path and path.endswith(".json"):
+            raise OSError("gone")
+        real(path)
+
+    monkeypatch.setattr(lab.source.files_, "delete", crash)
+    with pytest.raises(OSError):
+        lab.source.expire_snapshots(timedelta(0))
+    monkeypatch.undo()
+    from tidemark.sources.tablelog import SnapshotTable
+
+    again = SnapshotTable(spark, lab.source.path)
+    assert again.read().count() == 3 and len(again.log()) == 1
+    again.append(trades(spark, ("A", "2026-04-09", 1, 1)))
+    assert again.expire_snapshots(timedelta(0)) == 1 and SnapshotTable(spark, lab.source.path).read().count() == 4

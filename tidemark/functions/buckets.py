@@ -79,10 +79,3 @@ def literal(value: datetime, kind: str) -> Column:
 def between(column: str, start: datetime, end: datetime, kind: str) -> Column:
     """column in [start, end), in a form that reaches the Parquet scan."""
     return (F.col(f"`{column}`") >= literal(start, kind)) & (F.col(f"`{column}`") < literal(end, kind))
-
-
-def bucket_between(column: str, granularity: str, start: datetime, end: datetime, kind: str) -> Column:
-    """Rows whose bucket starts in [start, end), as a range of the raw column, which prunes where a test on date_trunc does not."""
-    low = floor(start, granularity)
-    high = floor(end, granularity)
-    return between(column, low if low == start else following(low, granularity), high if high == end else following(high, granularity), kind)

@@ -45,11 +45,13 @@ def changed_range(table: SnapshotTable, snapshots: list[Snapshot], column: str)
     Rows that an upsert only carried over don't count. An overwrite without carried rows is measured over the files it removed as well,
     so buckets that it vacated are rebuilt.
     """
-    bounds = {f.path: f for s in table.log() for f in (*(s.base or ()), *s.added)}
+    bounds: dict | None = None
     files, ranges = [], []
     for s in snapshots:
         files += [f for f in s.added if not f.carried]
         if s.operation == "overwrite" and s.removed and not any(f.carried for f in s.added) and not s.changed:
+            if bounds is None:  # only these need the files of earlier snapshots
+                bounds = {f.path: f for s in table.log() for f in (*(s.base or ()), *s.added)}
             files += [bounds[p] for p in s.removed if p in bounds]
         if column in s.changed:
             ranges.append((as_datetime(s.changed[column][0]), as_datetime(s.changed[column][1])))

@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ViewError
 from ..functions.buckets import expand, floor, walk
 from ..plans.viewdef import ParsedView
 from ..sources.tablelog import SnapshotTable
@@ -55,7 +56,7 @@ def backfill_ranges(view: ParsedView, source: SnapshotTable, target: SnapshotTab
     if not chunk:
         return [expand(*found, view.granularity)]
     start, end = expand(*found, chunk)
-    done = target_bucket_max(target, view.bucket_alias) if view.bucket_alias else None
+    done = target_bucket_max(target, view.range_alias) if view.range_alias else None
     if done is not None:
         start = max(start, floor(_as(done, start), chunk))
     return list(walk(start, end, chunk))
@@ -72,6 +73,8 @@ def refresh(
 
     The source is pinned to snapshot. Views with HAVING always replace their range, as a group may stop to qualify.
     """
+    if replace_range and view.range_alias is None:
+        raise ViewError("replace_range needs the bucket in the output, as date_trunc itself or cast to a timestamp")
     ranges = [incremental] if incremental else backfill_ranges(view, source, target, chunk)
     chunked = not incremental and bool(chunk)
     for done, (start, end) in enumerate(ranges, 1):
@@ -81,13 +84,13 @@ def refresh(
         try:
             seen = Observation(query_id)
             rows = source.read(snapshot, view.filter_column, start, end).observe(seen, F.count(F.lit(1)).alias("rows"))
-            commit = target.upsert(view_over(spark, view, rows), view.merge_keys, view.bucket_alias, (start, end), replace_range or view.has_having)
+            commit = target.upsert(view_over(spark, view, rows), view.merge_keys, view.range_alias, (start, end), replace_range or view.has_having, cluster=not incremental)
         finally:
             spark.removeTag(query_id)
         files = commit.added if commit else ()
-        # an empty range may never have run
-        read = seen.get.get("rows", 0) if commit else 0
+        # the plan of an empty range may never have run, and then nothing was seen
+        read = seen.get.get("rows", 0) if any(not f.carried for f in files) else 0
         yield QueryInfo(
-            query_id, f"spark-tag:{query_id}", "chunk_merge" if chunked else "merge", began, int((time.monotonic() - clock) * 1000), read, sum(f.size for f in files), (start, end),
+            query_id, f"spark-tag:{query_id}", "chunk_merge" if chunked else "merge", began, int((time.monotonic() - clock) * 1000), read, source.bytes_in(snapshot, view.filter_column, start, end), (start, end),
             done if chunked else None, len(ranges) if chunked else None, sum(f.rows for f in files if not f.carried),
         )

@@ -6,10 +6,10 @@ watermark: rows of any age reopen their bucket. A batch that runs again rebuilds
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import expand
@@ -22,32 +22,28 @@ def stream_view(spark: SparkSession, stream: DataFrame, query: str, source: Snap
     """Append each micro-batch of stream to source and keep the view at target_path equal to query over it."""
     parsed = parse_view(spark, query)
     target = SnapshotTable.create(spark, target_path, output_schema(spark, parsed, source))
-    return stream.writeStream.foreachBatch(batch_refresh(query, source, target)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(batch_refresh(query, source, target, checkpoint)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def batch_refresh(query: str, source: SnapshotTable, target: SnapshotTable) -> Callable[[DataFrame, int], None]:
+def batch_refresh(query: str, source: SnapshotTable, target: SnapshotTable, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each batch. checkpoint names the stream: its batches are numbered there, and the source's log says which of
+    them it has, also after it was expired."""
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        # a batch that was appended before a crash must not be appended again
-        folder = f"batch-{batch_id}"
-        if any(s.changed.get("__stream") == (folder, folder) for s in source.log()):
-            span = None
-        else:
+        key = f"__stream:{stream}"
+        if batch_id > source.last_batch(stream):
             added = source._write(batch)
             if not added:
                 return
-            source.commit("append", added, changed={"__stream": (folder, folder)})
-            span = added
+            source.commit("append", added, changed={key: (str(batch_id), str(batch_id))})
+        else:  # appended before a crash: only the view may lack it
+            added = [f for s in source.log() if s.changed.get(key, ("",))[0] == str(batch_id) for f in s.added]
         parsed = parse_view(source.spark, query)
-        files = span if span is not None else [f for s in source.log() if s.changed.get("__stream") == (folder, folder) for f in s.added]
-        ranges = [r for f in files if (r := f.range(parsed.filter_column)) is not None]
+        ranges = [r for f in added if (r := f.range(parsed.filter_column)) is not None]
         if ranges:
             whole = expand(min(a for a, _ in ranges), max(b for _, b in ranges), parsed.granularity)
             for _ in refresh(source.spark, parsed, source, target, whole):
                 pass
 
     return run
-
-
-def bucket_counts(stream: DataFrame, column: str, granularity: str) -> DataFrame:
-    """Rows for each tumbling calendar bucket of a stream, in complete mode."""
-    return stream.groupBy(F.date_trunc(granularity, column).alias("bucket")).agg(F.count("*").alias("n"))
