@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import urllib.request
 from datetime import UTC, datetime
@@ -66,3 +67,50 @@ def test_validation(spark):
     for bad in ({"full_refresh_chunk": "second"}, {"name": "a b"}, {"query_timeout_seconds": 0}, {"expire_snapshots_retention": "7w"}, {"optimize_file_size_threshold": "x"}, {"maintenance_interval_seconds": -1}):
         with pytest.raises(ViewError):
             validate(spark, ViewConfig(**VIEW | bad))
+
+
+def test_delete_stops_a_backfill_between_commits(service, spark):
+    """A view that is deleted while its chunks are rebuilt makes no further commit, and leaves no state behind."""
+    import time
+
+    source = service.catalog.table("m.trades")
+    days = spark.range(40).selectExpr("timestamp'2026-02-01 00:00:00' + make_dt_interval(cast(id as int)) AS ts", "1.0 AS x")
+    source.append(days)
+    service.create(ViewConfig(**VIEW, refresh_interval_seconds=3600, full_refresh_chunk="day"))
+    service.supervise_once()
+    target = service.catalog.table("m.hourly")
+    deadline = time.time() + 60
+    while time.time() < deadline and len(service.catalog.table("m.hourly").log()) < 2:
+        time.sleep(0.05)
+    runtime = service.runtime["hourly"]
+    service.delete("hourly")
+    assert runtime.stopped.is_set() and not runtime.thread.is_alive()
+    commits = len(target.log())
+    time.sleep(1)
+    assert 2 <= commits == len(target.log()) < 41
+    assert service.history.get_last_source_snapshot("hourly") is None and "hourly" not in service.status
+
+
+def test_refresh_of_a_view_without_a_worker_yet(service):
+    service.create(ViewConfig(**VIEW, refresh_interval_seconds=3600))
+    code, status = handle(service, "POST", "/api/views/hourly/refresh", None)
+    assert code == 200 and status["total_refreshes"] >= 1
+
+
+def test_errors_are_recorded_and_shared_targets_refused(service, spark):
+    view = ViewConfig(**VIEW | {"query": VIEW["query"].replace("m.trades", "m.none")})
+    service.create(view)
+    with pytest.raises(FileNotFoundError):
+        service.refresh_view("hourly")
+    assert service.status["hourly"].total_errors == 1 and "m.none" in service.status["hourly"].last_error
+    assert handle(service, "POST", "/api/views", VIEW | {"name": "other"})[0] == 409
+    assert handle(service, "PUT", "/api/views/hourly", dataclasses.asdict(view) | {"target_table": "m.else"})[0] == 422
+    names = [f["name"] for f in handle(service, "GET", "/api/views/schema", None)[1]]
+    assert {"query", "target_table", "full_refresh_chunk"} <= set(names)
+    assert [v["name"] for v in handle(service, "GET", "/api/views", None)[1]] == ["hourly"]
+
+
+def test_empty_source_is_a_skip(service, spark):
+    SnapshotTable.create(spark, service.catalog.table("m.empty").path, spark.createDataFrame([], "ts timestamp").schema)
+    service.create(ViewConfig(**VIEW | {"query": VIEW["query"].replace("m.trades", "m.empty")}))
+    assert service.refresh_view("hourly") == "skip" and service.status["hourly"].last_error is None

@@ -76,9 +76,12 @@ def handle(service: Service, method: str, path: str, body: dict | None) -> tuple
                 service.delete(name)
                 return 204, None
             case "POST", ["api", "views", name, "refresh"]:
-                if name not in service.views or name not in service.runtime:
+                if name not in service.views:
                     return 404, {"detail": f"no view {name}"}
-                status = service.trigger(name)
+                try:
+                    status = service.trigger(name)
+                except TimeoutError:
+                    return 504, {"detail": f"the refresh of {name} has not ended yet"}
                 return (410, {"detail": f"view {name} was deleted"}) if status is None else (200, dataclasses.asdict(status))
     except (ViewError, TypeError) as e:
         return 422, {"detail": str(e)}

@@ -44,6 +44,8 @@ class Runtime:
     def __init__(self) -> None:
         self.condition = threading.Condition()
         self.wake = self.stop = self.running = False
+        #: Set when the worker must end: a refresh stops between commits.
+        self.stopped = threading.Event()
         self.done = 0
         self.thread: threading.Thread | None = None
 
@@ -79,6 +81,7 @@ class Service:
         self.views: dict[str, ViewConfig] = {}
         self.status: dict[str, ViewStatus] = {}
         self.runtime: dict[str, Runtime] = {}
+        self._tags: dict[str, str] = {}
         self.lock = threading.RLock()
         self._mtime: float | None = None
         self._closing = threading.Event()
@@ -158,16 +161,19 @@ class Service:
         self.history.append(name, q)
         self.status[name].recent_queries = [q, *self.status[name].recent_queries][: self.history.keep]
 
+    def _cancel(self, tag: str) -> None:
+        self.spark.interruptTag(tag)
+
     def refresh_view(self, name: str, stop: threading.Event | None = None) -> str:
         """Detect, refresh, bookmark, maintain; returns the action. Errors are counted and kept in the status, then raised."""
         view, s, began = self.views[name], self.status[name], time.monotonic()
-        tag = f"view-{name}-{time.time_ns()}"
+        tag = self._tags[name] = f"view-{name}-{time.time_ns()}"
         timer, late = None, threading.Event()
         if view.query_timeout_seconds:
 
             def cancel() -> None:
                 late.set()
-                self.spark.interruptTag(tag) if hasattr(self.spark, "interruptTag") else self.spark.sparkContext.cancelJobsWithTag(tag)
+                self._cancel(tag)
 
             timer = threading.Timer(view.query_timeout_seconds, cancel)
             timer.start()
@@ -178,6 +184,8 @@ class Service:
                 raise TimeoutError
             return action
         except Exception as e:
+            if stop is not None and stop.is_set() and not late.is_set():
+                return "interrupted"  # its jobs were cancelled
             s.total_errors += 1
             s.last_error = f"refresh exceeded query_timeout_seconds={view.query_timeout_seconds}" if late.is_set() else f"{type(e).__name__}: {e}"
             self.metrics.add("mv_refresh_errors_total", view=name)
@@ -186,6 +194,7 @@ class Service:
             if timer:
                 timer.cancel()
             self.spark.removeTag(tag)
+            self._tags.pop(name, None)
             s.last_refresh, s.last_duration = datetime.now(UTC).isoformat(), time.monotonic() - began
             self.metrics.observe("mv_refresh_duration_seconds", s.last_duration, view=name)
             if name in self.views:
@@ -226,7 +235,7 @@ class Service:
                 self._persist(name)
             if late.is_set():
                 raise TimeoutError
-            if stop is not None and stop.is_set() and q.chunks_done != q.chunks_total:
+            if stop is not None and stop.is_set() and q.chunks_done is not None and q.chunks_done != q.chunks_total:
                 return "interrupted"  # no bookmark: the next cycle resumes from the target
         self.history.set_last_source_snapshot(name, found.current_snapshot)
         s.total_refreshes += 1
@@ -268,14 +277,13 @@ class Service:
     # --- threads ---
 
     def _worker(self, name: str, r: Runtime) -> None:
-        stop = threading.Event()
         while True:
             with r.condition:
                 if r.stop or self._closing.is_set():
                     return
                 r.wake, r.running = False, True
             try:
-                self.refresh_view(name, stop)
+                self.refresh_view(name, r.stopped)
             except Exception:
                 log.exception("refresh of %s failed", name)
             with r.condition:
@@ -292,9 +300,12 @@ class Service:
         r = self.runtime.pop(name, None)
         if r is None:
             return
+        r.stopped.set()
         with r.condition:
             r.stop = True
             r.condition.notify_all()
+        if tag := self._tags.get(name):
+            self._cancel(tag)
         if r.thread and r.thread is not threading.current_thread():
             r.thread.join(timeout=60)
 
@@ -323,6 +334,8 @@ class Service:
 
     def trigger(self, name: str, timeout: float = 300) -> ViewStatus | None:
         """Wait for a cycle that began after this call; None if the view was deleted meanwhile."""
+        if name not in self.runtime:
+            self.supervise_once()  # a view whose worker hasn't started yet
         r = self.runtime[name]
         with r.condition:
             goal = r.done + (2 if r.running else 1)
