@@ -28,6 +28,8 @@ def _folder(spark: SparkSession) -> str:
         from uuid import uuid4
 
         return f"{base.rstrip('/')}/views-{uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tidemark-views-")
     atexit.register(shutil.rmtree, path, True)
     return f"file://{path}"
@@ -87,7 +89,8 @@ def _fed(sql: str, order: list[int], compact: tuple[int, ...] = (), days: tuple[
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = _table(spark, sf_dir, "events")
-        parts = _slices(events, "ts", [datetime(2024, 1, d, 12) for d in days])
+        # cut inside hours, so that a later slice changes groups that an earlier one began
+        parts = _slices(events, "ts", [datetime(2024, 1, d, 12, 37, 11) for d in days])
         lab, target = Lab(spark, events.schema), None
         for i, k in enumerate(order):
             lab.source.append(parts[k])
@@ -128,6 +131,12 @@ _ORDERS = "SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS TIMEST
 _LINES = "SELECT l_returnflag, l_linestatus, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP_NTZ) AS month, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM market.lineitem GROUP BY {by}"
 _ANY = """SELECT l_returnflag, CAST(date_trunc('year', l_shipdate) AS TIMESTAMP_NTZ) AS year, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_quantity), 6) AS spread,
 count(DISTINCT l_partkey) AS parts, count(*) FILTER (WHERE l_discount > 0.05) AS discounted FROM market.lineitem GROUP BY l_returnflag, year"""
+_ORDERED = """SELECT l_returnflag, CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP_NTZ) AS quarter, round(percentile(l_quantity, 0.5), 6) AS median,
+array_join(array_sort(collect_set(l_linestatus)), ',') AS statuses, max(struct(l_extendedprice, l_orderkey)).l_orderkey AS dearest, bool_or(l_tax > 0.07) AS taxed
+FROM market.lineitem GROUP BY l_returnflag, quarter"""
+_ORDERED_SQL = """SELECT l_returnflag, CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP) AS quarter, round(quantile_cont(l_quantity, 0.5), 6) AS median,
+string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS dearest, bool_or(l_tax > 0.07) AS taxed
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
 _NULLS = "SELECT nullif(event_type, 'click') AS kind, CAST(date_trunc('week', ts) AS TIMESTAMP_NTZ) AS week, count(*) AS n FROM market.events GROUP BY nullif(event_type, 'click'), CAST(date_trunc('week', ts) AS TIMESTAMP_NTZ)"
 _KEYS = "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS day FROM market.events GROUP BY event_type, day"
 
@@ -139,6 +148,12 @@ def _direct(sql: str) -> str:
     return re.sub(r"CAST\((date_trunc\('\w+', \w+\)) AS TIMESTAMP_NTZ\)", r"\1", sql)
 
 
+def _bare_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HAVING over date_trunc itself, whose output is an instant."""
+    found = _fed(_direct(_HAVING), [0, 1, 2, 3, 4, 5])(spark, sf_dir)
+    return found.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 def _chunked(chunks: list[tuple[str, int | None]]) -> Query:
     """A backfill of orders by month; (chunk, stop after so many commits) for each attempt."""
 
@@ -235,16 +250,34 @@ _TRUTH = (("no snapshots", "no_change"), ("no bookmark", "full_refresh"), ("book
 
 
 def metadata(which: str) -> Query:
+    """A metadata table of a source that was made from the table's own file, without paths and times."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lab = Lab(spark, _table(spark, sf_dir, "events").schema)
         lab.source.add_files([f"{sf_dir}/events.parquet"])
         lab.refresh(_KEYS)
         lab.refresh(_COUNTS, "hours")
-        return lab.source.system_table(which)
+        found = lab.source.system_table(which)
+        if which == "snapshots":
+            return found.select("snapshot_id", "operation")
+        bounds = F.col("readable_metrics")["ts"]
+        if which == "files":
+            found = found.groupBy("content").agg(F.sum("record_count").alias("record_count"), F.min(bounds["lower_bound"]).alias("low"), F.max(bounds["upper_bound"]).alias("high"))
+        else:
+            found = found.groupBy("snapshot_id", "status").agg(F.sum("record_count").alias("record_count"), F.min(bounds["lower_bound"]).alias("low"), F.max(bounds["upper_bound"]).alias("high"))
+        return found
 
     return run
 
 
+_BOUNDS = "count(*) AS record_count, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS low, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS high FROM events"
+_METADATA = {
+    "metadata_snapshots": "SELECT CAST(1 AS BIGINT) AS snapshot_id, 'append' AS operation",
+    "metadata_files": f"SELECT CAST(0 AS INTEGER) AS content, {_BOUNDS}",
+    "metadata_all_entries": f"SELECT CAST(1 AS BIGINT) AS snapshot_id, CAST(1 AS INTEGER) AS status, {_BOUNDS}",
+}
+
+
 def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else x if x.startswith(("TIMESTAMP", "CAST")) else f"'{x}'" for x in r) + ")" for r in rows) + ")"
 
@@ -285,6 +318,7 @@ def queries() -> dict[str, Query]:
     out |= {k: _chunked(c) for k, c in _CHUNKS.items()}
     out |= {"chained_1m_to_1h": _chain(False), "chained_3_deep": _chain(True)}
     out |= {"expand_bounds": expand_bounds, "walk_buckets": walk_table, "chunk_matrix": chunk_matrix, "detect_truth_table": detect_truth_table}
+    out |= {"having_bare_bucket": _bare_having, "ordered_aggregates": _whole("lineitem", _ORDERED)}
     return out | {f"metadata_{w}": metadata(w) for w in ("snapshots", "all_entries", "files")}
 
 
@@ -300,5 +334,6 @@ def oracle_sql() -> dict[str, str]:
     out["walk_buckets"] = f"SELECT * FROM {_values([(i, f'TIMESTAMP {a!r}', f'TIMESTAMP {b!r}') for i, (a, b) in enumerate(months)])} AS t(n, range_start, range_end)"
     allowed = {g: "minute hour day week month quarter year" for g in ("millisecond", "second", "minute")} | {"hour": "hour day week month quarter year", "day": "day week month quarter year", "week": "week", "month": "month quarter year", "quarter": "quarter year", "year": "year"}
     out["chunk_matrix"] = f"SELECT * FROM {_values([(g, c) for g, cs in allowed.items() for c in cs.split()])} AS t(granularity, chunk)"
+    out |= _METADATA | {"having_bare_bucket": _plain(_HAVING, "events", "ts"), "ordered_aggregates": _ORDERED_SQL}
     out["detect_truth_table"] = f"SELECT * FROM {_values([(i, a, b) for i, (a, b) in enumerate(_TRUTH, 1)])} AS t(n, case_name, outcome)"
     return out
