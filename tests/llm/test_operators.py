@@ -277,11 +277,10 @@ def _brute_removed(docs, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_factors_of_several_sources_and_their_boundaries(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_factors_of_several_sources_and_their_boundaries(spark, seed):
     """Documents put together from overlapping pieces of earlier ones, so that runs need several factors."""
-    monkeypatch.setattr(substrings, "ROUNDS", rounds)
-    rng = random.Random(5)
+    rng = random.Random(seed)
     base = [f"w{rng.randrange(40)}" for _ in range(400)]
     docs = [(k, " ".join(base[30 * k : 30 * k + 90])) for k in range(10)]
     for k in range(10, 40):
@@ -293,6 +292,11 @@ def test_factors_of_several_sources_and_their_boundaries(spark, monkeypatch, rou
     assert got == _brute_removed(docs, 10)
 
 
+def test_extended():
+    assert substrings.extended(list("abcdefgh"), list("xabcdexfgh"), [(0, 1), (2, 3), (5, 7)], 3) == [(0, 5, 1), (5, 8, 7)]
+    assert substrings.extended(list("abcd"), list("abxd"), [(0, 0)], 3) == []  # a hash misled
+
+
 def test_nothing_goes_without_factors(spark, monkeypatch):
     """Hashes only propose: without factors that were compared word by word, every document keeps its words."""
     monkeypatch.setattr(substrings, "factors", lambda found, *_: spark.createDataFrame([], "row long, start long, end long, source long, source_start long"))

@@ -2,11 +2,11 @@
 
 The reference is the corpus itself: a document is parsed against all documents of smaller doc_id. A window (``window`` consecutive words) is
 known to a document if it also starts in such a document; known windows next to each other are a run, and a run is parsed greedily from
-left to right. Its first window is looked up in the index of the reference, which says where it starts first (document and position); from
-there on document and reference are compared word by word, as far as they agree: that is a factor, with its source. If the run goes on, the
-window that straddles the factor's end is known as well and is looked up next, so passages that go on in another document are not lost at
-a boundary. A run is removed where factors of at least ``window`` words cover it. All runs of all documents are parsed at once; after
-``ROUNDS`` factors of a run, what is left of it is looked up window by window in one step.
+left to right. Its first window, every ``window``-th one and its last are looked up in the index of the reference, which says where each
+starts first (document and position); from there on document and reference are compared word by word, as far as they agree: that is a
+factor, with its source. A seed that lies in the factor before it is part of that one; where the source breaks off, the next seed's factor
+goes on, so passages that continue in another document are not lost at a boundary: seeds are no farther apart than a factor is long, and
+factors of at least ``window`` words must cover a run without a gap. Words that no factor covers stay.
 
 The index is dealt into blocks by content. Of the ``seed``-word grams of a window the one with the least hash is its anchor, so equal windows
 have equal anchors, and about one position in 22 is an anchor. Anchors that start in two documents or more mark bits in a bitmap of a fixed
@@ -36,9 +36,6 @@ from .rolling import Rolling
 WINDOW, SEED = 50, 8
 #: Bits of the map of shared anchors; more anchors only make it less selective.
 BITMAP_BITS = 1 << 26
-#: Factors of a run that are parsed one after the other.
-ROUNDS = 6
-
 
 class Parser(Rolling):
     """Hashes of a document's windows and anchors."""
@@ -118,7 +115,7 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _index(docs: DataFrame, bitmap, window: int, seed: int) -> DataFrame:
-    """(w, source: (doc_id, at)): where each window that may be shared starts first."""
+    """(w, source: (doc_id, at), last): where each window that may be shared starts first, and the largest doc_id that has it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window, seed)
@@ -135,7 +132,7 @@ def _index(docs: DataFrame, bitmap, window: int, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["w", "doc_id", "at"])
 
     rows = docs.mapInArrow(emit, "w long, doc_id long, at long")
-    return rows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("source"))
+    return rows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("last"))
 
 
 def _known(docs: DataFrame, index: DataFrame, bitmap, window: int, seed: int) -> DataFrame:
@@ -164,85 +161,82 @@ def _known(docs: DataFrame, index: DataFrame, bitmap, window: int, seed: int) ->
     return joined.mapInArrow(find, "doc_id long, n_words long, runs array<struct<start:long,end:long>>, text binary")
 
 
-def _asked(found: DataFrame, window: int) -> DataFrame:
-    """(row, start, text, w): each run's words and the hash of its first window; row numbers the rows of found."""
+def _seeds(found: DataFrame, window: int) -> DataFrame:
+    """(row, run, k, w): of each run (row, its start) the hash of every window-th window and of the last one, k words from the start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
             rows = []
-            for row, x, spans in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(1).to_pylist(), strict=True):
-                words = _words(x)
-                rows += [(row, s["start"], b" ".join(words[s["start"] : s["end"]])) for s in spans]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["row", "start", "text"])
+            for row, spans, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes = rolling.grams(rolling.sums(_words(x)), window).view(np.int64)
+                for a, b in ((s["start"], s["end"]) for s in spans):
+                    at = [*range(0, b - a - window, window), b - a - window]
+                    rows += [(row, a, k, int(hashes[a + k])) for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["row", "run", "k", "w"])
 
-    types = (pa.int64(), pa.int64(), pa.binary())
-    return found.where(F.size("runs") > 0).select("row", "runs", "text").mapInArrow(cut, "row long, start long, text binary")
+    return found.mapInArrow(cut, "row long, run long, k long, w long")
 
 
-def _parse(asked: DataFrame, index: DataFrame, docs: DataFrame, window: int, each: bool = False) -> DataFrame:
-    """One step: (row, start, end, source, source_start, rest, rest_start) for each run of asked (row, start, text); rest: the words from the
-    window on that straddles the factor's end, null if the run is done. each: every window is asked for, and there is no rest."""
+def _texts_of_runs(found: DataFrame) -> DataFrame:
+    """(row, run, own): each run's words."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row, start, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for row, spans, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = _words(x)
-                if each:
-                    hashes = rolling.grams(rolling.sums(words), window).view(np.int64).tolist()
-                    rows += [(row, start + k, h, b" ".join(words[k : k + window])) for k, h in enumerate(hashes)]
-                else:
-                    rows.append((row, start, int(rolling.grams(rolling.sums(words[:window]), window).view(np.int64)[0]), x.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["row", "start", "w", "text"])
+                rows += [(row, s["start"], b" ".join(words[s["start"] : s["end"]])) for s in spans]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["row", "run", "own"])
+
+    return found.mapInArrow(cut, "row long, run long, own binary")
+
+
+def extended(mine: list[bytes], words: list[bytes], seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int, int]]:
+    """(start, end, source start) of the factors from seeds (place in mine, place in words, in order): as far as both agree, word by word.
+
+    A seed inside the factor before it, at the same offset, is part of that one.
+    """
+    out: list[tuple[int, int, int]] = []
+    for k, at in seeds:
+        if out and k < out[-1][1] and k - at == out[-1][0] - out[-1][2] and k + window <= out[-1][1]:
+            continue
+        size, most = 0, min(len(mine) - k, len(words) - at)
+        while size < most and mine[k + size] == words[at + size]:
+            size += 1
+        if size >= window:
+            out.append((k, k + size, at))
+    return out
+
+
+def factors(found: DataFrame, index: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, start, end, source, source_start): the factors of all runs of found (row, runs, text), words compared."""
+    some = found.where(F.size("runs") > 0).select("row", "runs", "text")
+    located = _seeds(some, window).join(index, "w").groupBy("row", "run", F.col("source.doc_id").alias("source"))
+    located = store(located.agg(F.sort_array(F.collect_list(F.struct("k", F.col("source.at").alias("at")))).alias("seeds")), "located")
+    needed = store(located.select(F.col("source").alias("__id")).distinct(), "sources")
+    refs = docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("source"), F.col("text").alias("ref"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, []
         for batch in batches:
-            rows, last, words = [], None, []
-            columns = [c.to_pylist() for c in batch.columns[:4]]
-            for (row, start, source, at), own, ref in zip(zip(*columns, strict=True), batch.column(4), batch.column(5), strict=True):
-                mine = _words(own)
+            rows = []
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for (row, run, source, seeds), own, ref in zip(zip(*columns, strict=True), batch.column(4), batch.column(5), strict=True):
                 text = ref.as_buffer()
                 if last is None or not last.equals(text):
                     last, words = text, _words(ref)
-                size, most = 0, min(len(mine), len(words) - at)
-                while size < most and mine[size] == words[at + size]:
-                    size += 1
-                rest, skip = None, max(1, size - window + 1)
-                if not each and size < len(mine) >= skip + window:
-                    rest = b" ".join(mine[skip:])
-                rows.append((row, start, start + size, source, at, rest, start + skip))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    types = (*[pa.int64()] * 5, pa.binary(), pa.int64())
-    names = ["row", "start", "end", "source", "source_start", "rest", "rest_start"]
-    asked = asked.mapInArrow(ask, "row long, start long, w long, text binary").join(index, "w")
-    asked = asked.select("row", "start", F.col("source.doc_id").alias("source"), F.col("source.at").alias("at"), "text")
-    asked = store(asked, "asked")
-    needed = store(asked.select(F.col("source").alias("__id")).distinct(), "sources")
-    texts = docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("source"), F.col("text").alias("ref"))
-    met = asked.join(texts, "source").select("row", "start", "source", "at", "text", "ref")
-    out = store(met.mapInArrow(extend, "row long, start long, end long, source long, source_start long, rest binary, rest_start long"), "factors")
-    release(asked, needed)
+                got = extended(_words(own), words, [(x["k"], x["at"]) for x in seeds], window)
+                rows += [(row, run + a, run + b, source, at) for a, b, at in got]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["row", "start", "end", "source", "source_start"])
+
+    # rows that repeat a doc_id are sources together: the longest factors stay, and each has to agree by itself
+    met = located.join(_texts_of_runs(some), ["row", "run"]).join(refs, "source").select("row", "run", "source", "seeds", "own", "ref")
+    out = store(met.mapInArrow(extend, "row long, start long, end long, source long, source_start long"), "factors")
+    release(located, needed)
     return out
 
 
-def factors(found: DataFrame, index: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, start, end, source, source_start): the greedy factors of all runs of found (row, runs, text), words compared."""
-    asked, done = store(_asked(found, window), "runs"), None
-    for k in range(ROUNDS + 1):
-        step = _parse(asked, index, docs, window, k == ROUNDS)
-        new = step.where(F.col("end") - F.col("start") >= window).select("row", "start", "end", "source", "source_start")
-        done = new if done is None else done.unionByName(new)
-        release(asked)
-        asked = store(step.where("rest is not null").select("row", F.col("rest_start").alias("start"), F.col("rest").alias("text")), "runs")
-        if asked.isEmpty():
-            break
-    release(asked)
-    return done
-
-
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_removed, factors: array of (start, end) in words, kept: the words left, joined by spaces), a row for each of docs.
 
@@ -253,8 +247,10 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_shared_anchors(docs, window, seed))
     index = store(_index(docs, bitmap, window, seed), "index")
-    found = store(_known(docs, index, bitmap, window, seed).withColumn("row", F.monotonically_increasing_id()), "known")
-    got = store(factors(found, index, docs, window), "parsed")
+    found = store(_known(docs, index, bitmap, window, seed).withColumn("row", F.monotonically_increasing_id()), "known", "zstd")
+    shared = store(index.where("source.doc_id < last").select("w", "source"), "shared")
+    release(index)
+    got = factors(found, shared, docs, window)
     covered = got.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("got"))
     claimed = found.where(F.size("runs") > 0).select("row", "runs").join(covered, "row", "left")
     short = store(claimed.where(~_covers(F.coalesce("got", F.array().cast("array<struct<start:long,end:long>>")), F.col("runs"))).select(F.col("row").alias("__row"), "got"), "short")
@@ -287,9 +283,6 @@ def _without(found: DataFrame, spans, window: int) -> DataFrame:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:
                         merged.append(list(s))
-                if not merged:
-                    out.append((i, n, 0, [], x.as_py()))
-                    continue
                 words = _words(x)
                 for a, b in reversed(merged):
                     del words[a:b]
@@ -298,7 +291,9 @@ def _without(found: DataFrame, spans, window: int) -> DataFrame:
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), _RUNS, pa.binary()]
     chosen = found.select("doc_id", "n_words", spans.alias("runs"), "text")
-    return chosen.mapInArrow(take, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept binary")
+    some = chosen.where(F.size("runs") > 0).mapInArrow(take, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept binary")
+    whole = chosen.where(F.size("runs") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("runs").alias("factors"), F.col("text").alias("kept"))
+    return whole.unionByName(some)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
