@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def rows_of(frame):
     def plain(x):
-        if x is None or x != x or str(x) == "NaT":
+        if x is None or str(x) in ("<NA>", "NaT") or x != x:
             return None
         if isinstance(x, float):
             return round(x, 9) if math.isfinite(x) else str(x)
