@@ -169,3 +169,45 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"__w": "n_words", "__chars": "word_chars", "__symbols": "n_symbols", "__dup": "n_dup_lines", "__repeat": "n_repeat_words"}
     names |= {"__base_failed": "base_failed", "__kept": "kept"}
     return judge(measured).select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def _sql(spread: float = 4.0, min_docs: int = 50, min_tail: int = 20) -> str:
+    """The rows of op10_quality_rules in DuckDB SQL."""
+    bucket = lambda v: f"(CASE WHEN {v} <= 1e-6 THEN 0 ELSE CAST(ceil(ln({v} / 1e-6) / {math.log(_GAMMA)!r}) AS INTEGER) END)"
+    value = lambda b: f"(CASE WHEN {b} = 0 THEN 0.0 ELSE 1e-6 * pow({_GAMMA!r}::DOUBLE, {b}) * 2 / {1 + _GAMMA!r} END)"
+    level = lambda n, lang, source: f"SELECT {n} AS level, {lang} AS lang, {source} AS source, metric, bucket, count(*) AS n FROM e GROUP BY ALL"
+    low, high = f"v1 - {spread} * (v3 - v1)", f"v3 + {spread} * (v3 - v1)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS rows FROM d),
+tri AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+twice AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS x(k) GROUP BY r),
+m AS (SELECT s.r, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, length(t) - length(replace(t, '!', '')) AS bangs,
+  len(rows) AS lines, len(rows) - len(list_distinct(rows)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM s LEFT JOIN rep ON s.r = rep.r),
+e AS (SELECT r, lang, source, metric, {bucket("v")} AS bucket FROM (SELECT r, lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'bangs', 'word_length']) AS metric,
+  unnest([n_symbols / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1), n_dup_lines / greatest(lines, 1), bangs / greatest(n_words, 1),
+    word_chars / greatest(n_words, 1)]) AS v FROM m)),
+sk AS ({level(0, "lang", "source")} UNION ALL {level(1, "lang", "NULL")} UNION ALL {level(2, "NULL", "NULL")}),
+c AS (SELECT *, sum(n) OVER g AS docs, sum(n) OVER (g ORDER BY bucket) AS seen FROM sk WINDOW g AS (PARTITION BY level, lang, source, metric)),
+q AS (SELECT *, min(bucket) FILTER (seen >= 0.25 * docs) OVER g AS b1, min(bucket) FILTER (seen >= 0.75 * docs) OVER g AS b3 FROM c
+  WINDOW g AS (PARTITION BY level, lang, source, metric)),
+u AS (SELECT *, docs - max(seen) FILTER (bucket <= b3) OVER g AS beyond, max(seen) FILTER (bucket <= b3) OVER g AS before FROM q
+  WINDOW g AS (PARTITION BY level, lang, source, metric)),
+z AS (SELECT level, lang, source, metric, docs, b1, b3, beyond, min(bucket) FILTER (bucket > b3 AND seen - before >= 0.25 * beyond) AS t1,
+  min(bucket) FILTER (bucket > b3 AND seen - before >= 0.5 * beyond) AS t2 FROM u GROUP BY ALL),
+x AS (SELECT *, {value("b1")} AS v1, {value("b3")} AS v3, CASE WHEN t1 IS NOT NULL THEN {value("t1")} END AS x1, CASE WHEN t2 IS NOT NULL THEN {value("t2")} END AS x2 FROM z),
+f AS (SELECT level, lang, source, metric, docs >= {min_docs} AND (b1 <> b3 OR beyond = 0 OR beyond >= {min_tail}) AS own,
+  CASE WHEN b1 <> b3 AND v1 > {spread} * (v3 - v1) THEN {bucket("(" + low + ")")} ELSE 0 END AS low,
+  greatest(b3, CASE WHEN b1 <> b3 THEN {bucket("(" + high + ")")} WHEN beyond > 0 THEN {bucket(f"(x2 + 2 * {spread} * (x2 - x1))")} END) AS high FROM x),
+o AS (SELECT e.r, bool_and(CASE WHEN a.own THEN e.bucket BETWEEN a.low AND a.high WHEN b.own THEN e.bucket BETWEEN b.low AND b.high ELSE e.bucket BETWEEN g.low AND g.high END) AS inside
+  FROM e JOIN f a ON a.level = 0 AND a.metric = e.metric AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
+  JOIN f b ON b.level = 1 AND b.metric = e.metric AND b.lang IS NOT DISTINCT FROM e.lang JOIN f g ON g.level = 2 AND g.metric = e.metric GROUP BY e.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept FROM m JOIN o ON m.r = o.r
+"""
+
+
+OP10_SQL = _sql()

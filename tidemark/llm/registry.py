@@ -28,4 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.OP2_SQL, "op8_warc": warc.OP8_SQL}
+    return {
+        "op2_url_filter": urls.OP2_SQL,
+        "op3_vectors": vectors.OP3_SQL,
+        "op5_substrings": substrings.OP5_SQL,
+        "op8_warc": warc.OP8_SQL,
+        "op10_quality_rules": quality.OP10_SQL,
+    }

@@ -397,3 +397,17 @@ def _of_length(keyed: DataFrame, dim: int, cosine: float, target: float, audit:
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")
+
+
+#: All pairs; its recall is 1 by definition.
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+  AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+l AS MATERIALIZED (SELECT a.r, b.r AS s FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS s FROM ok UNION SELECT reach.r, l.s FROM reach JOIN l ON reach.s = l.r),
+c AS (SELECT reach.r, min(ok.vec_id) AS component_id FROM reach JOIN ok ON reach.s = ok.r GROUP BY reach.r),
+n AS (SELECT r, count(*) AS n FROM l GROUP BY r)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id = vec_id, TRUE) AS kept,
+  CAST(1 AS DOUBLE) AS recall FROM v LEFT JOIN c ON v.r = c.r LEFT JOIN n ON v.r = n.r
+"""
