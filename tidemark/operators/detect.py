@@ -45,6 +45,7 @@ def changed_range(table: SnapshotTable, snapshots: list[Snapshot], column: str)
     Rows that an upsert only carried over don't count. An overwrite without carried rows is measured over the files it removed as well,
     so buckets that it vacated are rebuilt.
     """
+    column = table.column(column)
     bounds: dict | None = None
     files, ranges = [], []
     for s in snapshots:
@@ -63,7 +64,7 @@ def changed_range(table: SnapshotTable, snapshots: list[Snapshot], column: str)
 
 def source_range(table: SnapshotTable, column: str) -> tuple[datetime, datetime] | None:
     """The bounds of column over all live files; None for an empty table."""
-    files = table.live()
+    files, column = table.live(), table.column(column)
     own = [r for f in files if (r := f.range(column)) is not None]
     if files and not own:
         raise MissingFilterColumnError(f"no file of {table.path} has bounds of column {column!r}")

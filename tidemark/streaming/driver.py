@@ -40,7 +40,7 @@ def batch_refresh(query: str, source: SnapshotTable, target: SnapshotTable, chec
         else:  # appended before a crash: only the view may lack it
             added = [f for s in source.log() if s.changed.get(key, ("",))[0] == str(batch_id) for f in s.added]
         parsed = parse_view(source.spark, query)
-        ranges = [r for f in added if (r := f.range(parsed.filter_column)) is not None]
+        ranges = [r for f in added if (r := f.range(source.column(parsed.filter_column))) is not None]
         if ranges:
             whole = expand(min(a for a, _ in ranges), max(b for _, b in ranges), parsed.granularity)
             for _ in refresh(source.spark, parsed, source, target, whole):
