@@ -35,3 +35,17 @@ def test_chunks():
     assert chunks_for("week") == ("week",)
     assert chunks_for("millisecond") == ("minute", "hour", "day", "week", "month", "quarter", "year")
     assert chunks_for("month") == ("month", "quarter", "year")
+
+
+def test_metric_bounds_compare_instants(spark):
+    from tidemark.functions.buckets import metric_bounds
+
+    rows = [
+        ('{"ts": {"lower_bound": "2026-01-01T09:00:00+09:00", "upper_bound": "2026-01-01T03:00:00+00:00"}}',),
+        ('{"ts": {"lower_bound": "2026-01-01T01:00:00+00:00", "upper_bound": "2026-01-01T00:30:00-05:00"}}',),
+        ('{"x": {"lower_bound": "1", "upper_bound": "2"}}',),
+        (None,),
+    ]
+    found = metric_bounds(spark.createDataFrame(rows, "readable_metrics string"), "ts").selectExpr("string(low) AS low", "string(high) AS high", "files").first()
+    assert tuple(found) == ("2026-01-01 00:00:00", "2026-01-01 05:30:00", 2)
+    assert tuple(metric_bounds(spark.createDataFrame([], "readable_metrics string"), "ts").first()) == (None, None, 0)

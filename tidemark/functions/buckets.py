@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The granularities, finest first.
@@ -70,6 +70,20 @@ def as_datetime(value: datetime | date | str) -> datetime:
     return value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)
 
 
+def metric_bounds(files: DataFrame, column: str) -> DataFrame:
+    """(low, high, files), one row: the bounds of a time column over a table of files whose readable_metrics is a map or struct of
+    {lower_bound, upper_bound} by column, or the same as JSON text; files: how many have them.
+
+    Bounds are compared as instants, whatever zone they are written in, not as text; without a zone they are in the session's.
+    """
+    metrics = F.col("readable_metrics")
+    if files.schema["readable_metrics"].dataType.typeName() == "string":
+        metrics = F.from_json(metrics, "map<string, struct<lower_bound: string, upper_bound: string>>")
+    own = metrics[column]
+    low, high = (F.to_timestamp(own[k]) for k in ("lower_bound", "upper_bound"))
+    return files.agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.when(low.isNotNull() & high.isNotNull(), 1)).alias("files"))
+
+
 def literal(value: datetime, kind: str) -> Column:
     """value as a literal of a column's type (timestamp, timestamp_ntz or date)."""
     text = value.replace(tzinfo=None).isoformat(sep=" ", timespec="microseconds")

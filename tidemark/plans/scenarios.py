@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from ..config import ServerConfig, ViewConfig, data_size, duration, validate
 from ..errors import ViewError
+from ..functions.buckets import metric_bounds
 from ..operators.detect import Action, detect_changes
 from ..operators.refresh import output_schema, refresh
 from ..service import Catalog, Service
+from ..sources.seed import HOURS, OPENS, SYMBOLS, trades
 from ..sources.tablelog import SnapshotTable
 from ..state import QueryHistory
 from ..streaming.driver import batch_refresh, stream_view
@@ -158,6 +160,32 @@ def chunk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "newest int, stage string, processed_rows long")
 
 
+_TRADES = """SELECT symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS bucket, round(min_by(price, ts), 2) AS open, round(max(price), 2) AS high,
+round(min(price), 2) AS low, round(max_by(price, ts), 2) AS close, sum(quantity) AS volume, count(*) AS n FROM market.trades GROUP BY 1, 2"""
+
+
+def seeded_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars over the demo trades, a third of the month after the other."""
+    demo = trades(spark)
+    lab, target = Lab(spark, demo.schema), None
+    for part in _slices(demo, "ts", [datetime(2026, 1, 11, 15, 20), datetime(2026, 1, 21, 14, 5)]):
+        lab.source.append(part)
+        target, _ = lab.refresh(_TRADES)
+    return target.read()
+
+
+def bounds_of_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time bounds of events from the files' metrics, as a map and as JSON text."""
+    events = _table(spark, sf_dir, "events")
+    lab = Lab(spark, events.schema)
+    for part in _slices(events, "ts", CUTS):
+        lab.source.append(part.coalesce(1))
+    files = lab.source.system_table("files")
+    forms = {"map": files, "json": files.withColumn("readable_metrics", F.to_json("readable_metrics"))}
+    found = [metric_bounds(f, "ts").select(F.lit(k).alias("form"), F.col("low").cast("timestamp_ntz").alias("low"), F.col("high").cast("timestamp_ntz").alias("high"), "files") for k, f in forms.items()]
+    return found[0].unionByName(found[1])
+
+
 # --- decision tables ---
 
 _VIEW = "SELECT symbol, date_trunc('hour', ts) AS hour, sum(x) AS total FROM trades GROUP BY symbol, date_trunc('hour', ts)"
@@ -246,7 +274,7 @@ def _rows_sql(rows, names: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    found = (service_ticks, maintained_target, vacated_buckets, empty_then_filled, pinned_snapshot, two_streams, session_function, chunk_history, view_forms, config_values)
+    found = (service_ticks, maintained_target, vacated_buckets, empty_then_filled, pinned_snapshot, two_streams, session_function, chunk_history, seeded_trades, bounds_of_metrics, view_forms, config_values)
     return {f.__name__: f for f in found}
 
 
@@ -261,6 +289,13 @@ def oracle_sql() -> dict[str, str]:
 round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2""",
         "chunk_history": """SELECT CAST(row_number() OVER (ORDER BY quarter DESC) AS INTEGER) AS newest, 'chunk_merge' AS stage, n AS processed_rows
 FROM (SELECT date_trunc('quarter', o_orderdate) AS quarter, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1) ORDER BY quarter DESC LIMIT 5""",
+        "seeded_trades": f"""WITH i AS (SELECT range AS i, range // 3 AS tick FROM range({30 * HOURS * 60 * 4 * 3})),
+t AS (SELECT TIMESTAMP '2026-01-01' + to_seconds((tick // 4 // {HOURS * 60}) * 86400 + {OPENS * 3600} + (tick // 4 % {HOURS * 60}) * 60 + (tick % 4) * 15) AS ts,
+  {list(SYMBOLS)!r}[i % 3 + 1] AS symbol, 100 + 50 * (i % 3) + ((i * 7919 + 104729) % 1999) / 100 AS price, 1 + (i * 31) % 97 AS quantity FROM i)
+SELECT symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, round(arg_min(price, ts), 2) AS open, round(max(price), 2) AS high,
+  round(min(price), 2) AS low, round(arg_max(price, ts), 2) AS close, CAST(sum(quantity) AS BIGINT) AS volume, count(*) AS n FROM t GROUP BY 1, 2""",
+        "bounds_of_metrics": f"""WITH p AS (SELECT ts, {' + '.join(f"CAST(ts >= TIMESTAMP '{c.isoformat(sep=' ')}' AS INTEGER)" for c in CUTS)} AS part FROM events WHERE ts IS NOT NULL)
+SELECT form, min(ts) AS low, max(ts) AS high, count(DISTINCT part) AS files FROM p, (VALUES ('map'), ('json')) AS f(form) GROUP BY form""",
         "view_forms": _rows_sql([(f, e in accepted, e) for f, _, e in FORMS], "form, accepted, outcome"),
         "config_values": _rows_sql(SETTINGS, "setting, text, amount"),
     }
